@@ -78,7 +78,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     goal = goal.alias("g").join(edge.alias("e"), same(F.col("g.source"), F.col("e.source")), "left").select("g.*", "e4", "b4")
 
     at = F.substring("u", 1, 4)
-    rows = sized.alias("d").join(goal.alias("g"), same(F.col("d.source"), F.col("g.source")), "left").select(
+    # a source may hold a third of all rows, so its one row of goal stands 256 times and its documents meet it in as many parts
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.lower(F.hex(i)), 2, "0")))
+    goal = goal.withColumn("part", part)
+    rows = sized.alias("d").join(goal.alias("g"), same(F.col("d.source"), F.col("g.source")) & (F.substring("d.u", 1, 2) == F.col("g.part")), "left").select(
         "d.doc_id", "d.source", "d.size", "d.u", "source_size", "target", "whole", "rest", "e4", "b4"
     ).withColumn("last", at.eqNullSafe(F.col("e4")))
     # without an edge slice the target is a whole number of epochs
@@ -93,7 +96,7 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as mix() takes it, numbered by `epoch`."""
     (times,) = fresh(docs, "mix_times")
     # rows of one doc_id and source are taken alike, so one row of each is enough to join on
-    taken = mix(docs, **how).groupBy("doc_id", "source").agg(F.max("times").alias(times))
+    taken = mix(docs, **how).where("times > 0").groupBy("doc_id", "source").agg(F.max("times").alias(times))
     kept = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
     (epoch,) = fresh(docs, "epoch")
     kept = kept.select("d.*", F.col(f"t.{times}").cast("int").alias(times)).where(F.col(times) > 0)

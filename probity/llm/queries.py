@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from probity.llm import mixing, quality, rules, secrets, tokens, urls
+from probity.llm import decontamination, mixing, quality, rules, secrets, substrings, tokens, urls
 
 MODULES = {
+    "op1_substring_dedup": substrings,
     "op3_mixing": mixing,
     "op4_url_filters": urls,
+    "op5_decontamination": decontamination,
     "op6_quality_classifier": quality,
     "op8_quality_rules": rules,
     "op9_secret_scans": secrets,
