@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.common import SPACES, fresh, let, lower_ascii, table, words
+from probity.llm.common import SPACES, fresh, let, table, words
 from probity.llm.rules import STOP_WORDS
 
 MAX_ROWS = 20_000
@@ -34,19 +34,17 @@ FEATURES = (
 def features(text: Column) -> Column:
     """Struct of the statistics of a text."""
     t = F.coalesce(text, F.lit(""))
-    less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     matched = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
 
     def of(w: Column, ls: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1)).cast("double")
-        chars = F.greatest(F.length(F.translate(t, SPACES, "")), F.lit(1)).cast("double")
+        chars = F.greatest(F.length(F.array_join(w, "")), F.lit(1)).cast("double")
         n_lines = F.greatest(F.size(ls), F.lit(1)).cast("double")
         count = lambda test: F.size(F.filter(w, test))
         return F.struct(*[x.cast("double").alias(name) for name, x in zip(FEATURES, (
-            F.size(w), F.length(F.translate(t, SPACES, "")) / n, less("#$%&*<>^~@{}[]") / chars, matched(r"\p{Lu}") / chars, less("0123456789") / chars, less("!") / chars,
-            less("|") / n, less(".,;:?") / n, count(lambda x: F.array_contains(stop, lower_ascii(x))) / n, F.size(F.array_distinct(w)) / n,
+            F.size(w), F.length(F.array_join(w, "")) / n, matched(r"[#$%&*<>^~@{}\[\]]+") / chars, matched(r"\p{Lu}+") / chars, matched("[0-9]+") / chars, matched("!+") / chars,
+            matched(r"\|+") / n, matched("[.,;:?]+") / n, count(lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS))) / n, F.size(F.array_distinct(w)) / n,
             F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)) / n,
             count(lambda x: F.length(x) < 3) / n, count(lambda x: F.length(x) > 14) / n, F.size(F.array_distinct(ls)) / n_lines, F.size(w) / n_lines,
             F.size(F.filter(ls, lambda x: x.rlike(r"[.!?]\s*$"))) / n_lines,
