@@ -19,10 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.common import SPACES, let, lower_ascii, table, words
+from probity.llm.common import SPACES, let, table, words
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
 
 # Common function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -60,31 +60,30 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(pairs, marked))
 
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
-    return let(ws, lambda w: F.when(F.size(w) <= window, F.lit(0)).otherwise(let(grams(w), covered))).cast("long")
+    grams = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window)))
+    hashes = F.transform(ws, lambda x: F.xxhash64(x))
+    return F.when(F.size(ws) <= window, F.lit(0)).otherwise(let(hashes, lambda h: let(grams(h), covered))).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     longs = lambda c: c.cast("long")
-    without = lambda t, chars: F.length(F.translate(t, chars, ""))
     matched = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     base = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
     counted = base.select(
         "doc_id",
         longs(F.size("w")).alias("n_words"),
-        longs(without(text, SPACES)).alias("word_chars"),
-        longs(F.length(text) - without(text, SYMBOLS)).alias("n_symbols"),
+        longs(F.length(F.array_join("w", ""))).alias("word_chars"),
+        longs(matched(SYMBOLS)).alias("n_symbols"),
         let(lines, lambda x: F.struct(
             longs(F.size(x)).alias("n"), longs(F.size(x) - F.size(F.array_distinct(x))).alias("dup"),
             longs(F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)\s*$")))).alias("ellipsis"), longs(F.size(F.filter(x, lambda y: y.rlike(r"^\s*[-*•·–]\s")))).alias("bullet"),
         )).alias("l"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        longs(F.size(F.filter("w", lambda x: F.array_contains(stop, lower_ascii(x))))).alias("n_stop"),
-        longs(matched(r"\p{Lu}")).alias("n_capitals"), longs(matched(r"\p{L}")).alias("n_letters"), longs(F.length(text) - without(text, "!")).alias("n_exclamations"),
+        longs(F.size(F.filter("w", lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS))))).alias("n_stop"),
+        longs(matched(r"\p{Lu}+")).alias("n_capitals"), longs(matched(r"\p{L}+")).alias("n_letters"), longs(matched("!+")).alias("n_exclamations"),
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "n_repeat_words", *[
@@ -139,7 +138,7 @@ c AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
          len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•·–]\s'))) AS n_bullet,
-         len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({stop}))) AS n_stop,
+         len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop,
          length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_caps, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^!]', '', 'g')) AS n_excl
   FROM d LEFT JOIN r USING (rid)
 )
