@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.llm import decontamination, mixing, quality, rules, secrets, substrings, tokens, urls
+from probity.llm import decontamination, jaccard, mixing, quality, rules, secrets, substrings, tokens, urls
 
 MODULES = {
     "op1_substring_dedup": substrings,
@@ -10,6 +10,7 @@ MODULES = {
     "op4_url_filters": urls,
     "op5_decontamination": decontamination,
     "op6_quality_classifier": quality,
+    "op7_ngram_jaccard_join": jaccard,
     "op8_quality_rules": rules,
     "op9_secret_scans": secrets,
     "op10_token_counts": tokens,
