@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from probity.llm import decontamination, jaccard, mixing, quality, rules, secrets, substrings, tokens, urls
+from probity.llm import decontamination, jaccard, mixing, pii, quality, rules, secrets, substrings, tokens, urls
 
 MODULES = {
     "op1_substring_dedup": substrings,
+    "op2_pii_surrogates": pii,
     "op3_mixing": mixing,
     "op4_url_filters": urls,
     "op5_decontamination": decontamination,
