@@ -3,17 +3,20 @@
 Documents become sets of hashed word n-grams. All sets follow one global order of tokens: rare ones by their
 hash, then frequent ones by frequency. Two sets whose similarity reaches the threshold share at least l tokens
 among the first ``n - ceil(threshold * n) + l`` of each; each document takes the l that its own estimate of
-posting and verification costs favours, and a pair is a candidate if it shares at least the lesser l
-of its two documents. Candidates are verified on the whole texts, so no link is lost and none is false
+posting and verification costs favours: prefixes grow by one token for each match more that they ask for. Candidates are verified on the whole texts, so no link is lost and none is false
 (up to 64-bit hash collisions within a pair).
 
 Work stays near-linear in large groups:
 
 * equal sets are one representative;
-* a star round links the sets of a token's postings to the most central one (that with the fewest rare tokens);
+* sets that meet in a posting list of `HOT` or more are crowded. Over their whole sets, tokens that no other crowded set has are counted; the
+  overlap of two crowded sets is at most what remains, which bounds the sizes a set can be linked with (`room`), and a set
+  without room for any size leaves the long lists;
+* a star round links the sets of a token's postings to the most central one (that with the fewest tokens of its own);
   what is verified there becomes preliminary components, and postings are then joined by component: members of one
   component are never paired with each other;
-* what remains, pairs of different components that share a token, is joined in full.
+* what remains, pairs of different components that share a token and have room for each other, is joined in full, and a pair is verified if it
+  shares as many prefix tokens as its two sizes ask for.
 
 Frequencies are counted over all documents, for the lowest part of the hash range, which prefixes are made of;
 `frequent` keeps the most frequent tokens, at most `MOST_FREQUENT`, and the choice affects only the order, never the result.
@@ -44,11 +47,13 @@ LEAST_FREQUENT = 16
 #: Rows up to which a list of ids is broadcast; beyond, it is joined by shuffling.
 BROADCAST_ROWS = 500_000
 MAX_MATCH, VERIFY_COST = 6, 8.0
+#: Sets in a posting list of this length or more are crowded.
+HOT = 24
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -94,14 +99,17 @@ class Frequent:
 
 
 def prefix(s: np.ndarray, frequent: Frequent, num: int, den: int) -> tuple[np.ndarray, int, int]:
-    """(prefix, matches that it asks for, number of rare tokens) of a set."""
+    """(prefix, frequency and hash of its last token) of a set; it is as long as the number of matches that it asks for makes it.
+
+    The hash is shifted so that signed numbers keep the order."""
     counts = frequent.of(s)
     order = np.lexsort((s, counts))
     least = _least_overlap(len(s), num, den)
     cost = np.cumsum(np.maximum(counts[order], 1))
     base = len(s) - least
     best = min(range(1, min(MAX_MATCH, least) + 1), key=lambda m: cost[base + m - 1] * (1 + VERIFY_COST / m))
-    return s[order[: base + best]], best, int((counts == 0).sum())
+    taken = order[: base + best]
+    return s[taken], int(counts[taken[-1]]), int(s[taken[-1]]) - 2**63
 
 
 def _band(num: int, den: int) -> float:
@@ -152,30 +160,26 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, prefix, its matches, and the number of rare tokens of each document."""
+    """doc_id, n (size of the set), digest of the set, prefix and the order of its last token, of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k, num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, frequent = WordHashes(), shared.value
-        names = ["doc_id", "n", "digest", "prefix", "matches", "n_rare"]
+        names = ["doc_id", "n", "digest", "prefix", "last_n", "last_h"]
         for batch in batches:
             rows, ids = [], batch.column("doc_id")
             for text in batch.column("text").cast(pa.binary()):
                 s = shingles(text.as_py(), k, hashes)
-                rows.append((len(s), _digest(s), *prefix(s, frequent, num, den)) if len(s) else (0, None, None, None, None))
+                rows.append((len(s), _digest(s), *prefix(s, frequent, num, den)) if len(s) else (0, *[None] * 4))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             tokens = pa.array([None if t is None else t.view(np.int64) for t in cols[2]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), tokens, pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), tokens, *[pa.array(c, pa.int64()) for c in cols[3:]]], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, matches int, n_rare long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, last_n long, last_h long")
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids that reach the threshold, found from the whole texts of their representatives."""
-    pairs = materialise(pairs)
-    asked = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "doc_id", "digest"), "id"))
-    if asked.isEmpty():
-        return pairs
+def _own_texts(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(id, text) of the representatives (id, doc_id, digest) asked for; repeated rows give a text more than once."""
     listed = asked.select(F.col("doc_id").alias("w_doc_id"), "id", "digest")
     few = asked.count() <= BROADCAST_ROWS
     texts = _texts(docs)
@@ -187,7 +191,38 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: i
             keep = [_digest(shingles(t.as_py(), k, hashes)) == d.as_py() for t, d in zip(batch.column("text").cast(pa.binary()), batch.column("digest"), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["id", "text"])
 
-    texts = met.mapInArrow(same, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
+    return met.mapInArrow(same, "id long, text string")
+
+
+def _own_tokens(docs: DataFrame, crowded: DataFrame, k: int) -> DataFrame:
+    """(id, own) of crowded sets: how many of a set's tokens no other crowded set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            ids, parts, n = [], [], 0
+            for i, text in zip(batch.column("id"), batch.column("text").cast(pa.binary()), strict=True):
+                parts.append(shingles(text.as_py(), k, hashes).view(np.int64))
+                ids.append(np.full(len(parts[-1]), i.as_py(), np.int64))
+                n += len(parts[-1])
+                if n > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(parts))], ["id", "token"])
+                    ids, parts, n = [], [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(parts))], ["id", "token"])
+
+    token = _own_texts(docs, crowded, k).mapInArrow(run, "id long, token long")
+    alone = token.groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of set ids that reach the threshold, found from the whole texts of their representatives."""
+    pairs = materialise(pairs)
+    asked = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "doc_id", "digest"), "id"))
+    if asked.isEmpty():
+        return pairs
+    texts = _own_texts(docs, asked, k).groupBy("id").agg(F.first("text").alias("text"))
     near = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     far = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
 
@@ -212,25 +247,50 @@ def _sizes_fit(n: str, m: str, num: int, den: int):
 
 def links(docs: DataFrame, sets: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b) pairs of set ids whose components are those of all links: the links to centres, and all links between their components."""
-    posted = sets.select(F.explode("prefix").alias("token"), "id", "n", "n_rare", "matches")
-    shared = posted.groupBy("token").agg(F.min(F.struct("n_rare", "id", "n")).alias("centre"), F.count("*").alias("c")).where("c > 1").select("token", "centre")
-    posted = materialise(posted.join(shared, "token"))
-    star = posted.where(F.col("id") != F.col("centre.id")).where(_sizes_fit("n", "centre.n", num, den))
+    posted = sets.select(F.explode("prefix").alias("token"), "id")
+    shared = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    posted = materialise(posted.join(shared, "token").select("token", "id", (F.col("c") >= HOT).alias("long")))
+    crowded = materialise(posted.where("long").select("id").distinct().join(sets.select("id", "doc_id", "digest"), "id"))
+    facts = sets.select("id", "n", F.struct("last_n", "last_h").alias("end"), F.size("prefix").alias("len"))
+    if crowded.isEmpty():
+        facts = facts.withColumn("crowded", F.lit(False)).withColumn("own", F.lit(0).cast("long"))
+    else:
+        own = crowded.select("id").join(_own_tokens(docs, crowded, k), "id", "left").select("id", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+        facts = facts.join(own, "id", "left").select("id", "n", "end", "len", F.col("own").isNotNull().alias("crowded"), F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    # an overlap of n - own at most allows another size of (n - own)(1 + 1 / threshold) - n at most
+    room = F.floor((F.col("n") - F.col("own")) * (num + den) / num) - F.col("n")
+    posted = posted.join(facts, "id").withColumn("room", room)
+    posted = materialise(posted.where(~F.col("long") | (F.lit(den) * F.col("room") >= F.lit(num) * F.col("n"))).drop("long"))
+
+    def fits(n, room, crowded, m, room2, crowded2):
+        free = ~(F.col(crowded) & F.col(crowded2))
+        return _sizes_fit(n, m, num, den) & (free | ((F.col(m) <= F.col(room)) & (F.col(n) <= F.col(room2))))
+
+    centre = posted.groupBy("token").agg(F.min(F.struct("own", "id", "n", "room", "crowded")).alias("centre"))
+    star = posted.join(centre, "token").where(F.col("id") != F.col("centre.id")).where(fits("n", "room", "crowded", "centre.n", "centre.room", "centre.crowded"))
     # a pair that shares one token of many is left to the full join
-    star = star.groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.max("matches").alias("m")).where("c >= least(m, 3)").select("a", "b")
+    star = star.groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.min("len").alias("len")).where("c >= least(len, 3)").select("a", "b")
     first = _verified(docs, sets, star, k, num, den)
     root = components(first)
 
-    mine = posted.drop("centre").join(root, "id", "left").select("token", F.coalesce("root", "id").alias("part"), "id", "n", "matches")
-    mine = materialise(mine)
-    parts = mine.groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = parts.select("token", F.col("part").alias("p"), "low", "high"), parts.select("token", F.col("part").alias("q"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meet = x.join(y, "token").where((F.col("p") < F.col("q")) & (F.lit(den) * F.col("high2") >= F.lit(num) * F.col("low")) & (F.lit(den) * F.col("high") >= F.lit(num) * F.col("low2")))
-    meet = meet.select("token", "p", "q")
-    a = mine.select("token", F.col("part").alias("p"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("matches").alias("m_a"))
-    b = mine.select("token", F.col("part").alias("q"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("matches").alias("m_b"))
-    pairs = meet.join(a, ["token", "p"]).join(b, ["token", "q"]).where(_sizes_fit("n_a", "n_b", num, den))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("m_a", "m_b")).alias("m")).where("c >= m").select("a", "b")
+    mine = materialise(posted.join(root, "id", "left").select("token", F.coalesce("root", "id").alias("part"), "id", "n", "room", "crowded", "end", "len"))
+    parts = mine.groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.min("crowded").alias("crowded"))
+    x = parts.select("token", F.col("part").alias("p"), "low", "high", "room", "crowded")
+    y = parts.select("token", F.col("part").alias("q"), *[F.col(c).alias(c + "2") for c in ("low", "high", "room", "crowded")])
+    near = (F.lit(den) * F.col("high2") >= F.lit(num) * F.col("low")) & (F.lit(den) * F.col("high") >= F.lit(num) * F.col("low2"))
+    space = ~(F.col("crowded") & F.col("crowded2")) | ((F.col("low2") <= F.col("room")) & (F.col("low") <= F.col("room2")))
+    meet = x.join(y, "token").where((F.col("p") < F.col("q")) & near & space).select("token", "p", "q", "low2", "high2", "room2", "crowded2")
+    a = mine.select("token", F.col("part").alias("p"), *[F.col(c).alias(c + "_a") for c in ("id", "n", "room", "crowded", "end", "len")])
+    b = mine.select("token", F.col("part").alias("q"), *[F.col(c).alias(c + "_b") for c in ("id", "n", "room", "crowded", "end", "len")])
+    half = (F.lit(den) * F.col("high2") >= F.lit(num) * F.col("n_a")) & (F.lit(den) * F.col("n_a") >= F.lit(num) * F.col("low2"))
+    half = half & (~(F.col("crowded_a") & F.col("crowded2")) | ((F.col("low2") <= F.col("room_a")) & (F.col("n_a") <= F.col("room2"))))
+    pairs = meet.join(a, ["token", "p"]).where(half).select("token", "q", "id_a", "n_a", "room_a", "crowded_a", "end_a", "len_a").join(b, ["token", "q"])
+    pairs = pairs.where(fits("n_a", "room_a", "crowded_a", "n_b", "room_b", "crowded_b"))
+    # the set whose prefix ends first lacks at most n - overlap of its prefix tokens in the other
+    overlap = F.ceil(F.lit(num) * (F.col("n_a") + F.col("n_b")) / (num + den))
+    a_asks, b_asks = F.col("len_a") - F.col("n_a"), F.col("len_b") - F.col("n_b")
+    need = overlap + F.when(F.col("end_a") < F.col("end_b"), a_asks).when(F.col("end_b") < F.col("end_a"), b_asks).otherwise(F.greatest(a_asks, b_asks))
+    pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("c"), F.max(need).alias("need")).where("c >= need").select("a", "b")
     rest = _verified(docs, sets, pairs, k, num, den)
     return root.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(rest)
 
@@ -242,7 +302,7 @@ def classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> Data
     group = full.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     group = materialise(group)
     one = full.alias("f").join(group.alias("g"), (F.col("f.digest") == F.col("g.digest")) & F.col("f.doc_id").eqNullSafe(F.col("g.least_id")))
-    one = one.select("f.*").groupBy("digest", "doc_id", "n", "matches", "n_rare").agg(F.first("prefix").alias("prefix"))  # rows may be repeated
+    one = one.select("f.*").groupBy("digest", "doc_id", "n", "last_n", "last_h").agg(F.first("prefix").alias("prefix"))  # rows may be repeated
     sets = materialise(one.withColumn("id", F.monotonically_increasing_id()))
     root = components(links(docs, sets, k, num, den))
 

@@ -70,6 +70,7 @@ def test_query_against_brute_force(spark):
 
 
 def test_frequent_tokens_only_change_the_order(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 6)
     rng = random.Random(9)
     common = " ".join(rng.choice("abcdefgh") * 2 for _ in range(30))
     rows = [(i, common + " " + " ".join(rng.choice("qrstuv") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 2, 200])))) for i in range(120)]
