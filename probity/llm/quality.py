@@ -15,6 +15,7 @@ rows are scored alike; other columns pass through `score` untouched.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,16 +113,15 @@ def _holds(x: np.ndarray, rule: tuple) -> np.ndarray:
     return out
 
 
-def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[float, np.ndarray]:
-    """Lasso logistic regression by accelerated proximal gradient steps; the bias is not penalised."""
-    n, m = r.shape
-    scale = 0.25 * (np.linalg.norm(np.c_[np.ones(n), r], 2) ** 2) / n + 1e-9
-    w = z = np.zeros(m + 1)
+def _lasso(full: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[float, np.ndarray]:
+    """Lasso logistic regression by accelerated proximal gradient steps; the first column, of ones, is the bias and is not penalised."""
+    n = len(y)
+    scale = 0.25 * float(np.linalg.eigvalsh((full.T @ full).astype(float))[-1]) / n + 1e-9
+    w = z = np.zeros(full.shape[1])
     w[0] = z[0] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     t = 1.0
-    full = np.c_[np.ones(n), r]
     for _ in range(steps):
-        grad = full.T @ (1 / (1 + np.exp(-np.clip(full @ z, -30, 30))) - y) / n
+        grad = full.T @ (1 / (1 + np.exp(-np.clip(full @ z.astype(full.dtype), -30, 30))) - y).astype(full.dtype) / n
         new = z - grad / scale
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - penalty / scale, 0)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -155,12 +155,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = FEATURES, trees:
     if not rules:
         share = y.mean()
         return RuleEnsemble(float(np.log(share / (1 - share))), (), ())
-    kept, columns = [], {}
+    kept, seen = [], set()
     for rule in rules:  # rules that hold for the same rows are one rule
         inside = _holds(x, rule)
-        if 0 < inside.sum() < len(y) and columns.setdefault(inside.tobytes(), rule) is rule:
+        if 0 < inside.sum() < len(y) and (mark := hashlib.blake2b(np.packbits(inside).tobytes(), digest_size=16).digest()) not in seen:
+            seen.add(mark)
             kept.append(rule)
-    bias, weights = _lasso(np.stack([_holds(x, r) for r in kept], 1).astype(float), y, penalty)
+    full = np.ones((len(y), len(kept) + 1), np.float32)  # filled in place: the driver's memory is small
+    for k, rule in enumerate(kept, 1):
+        full[:, k] = _holds(x, rule)
+    bias, weights = _lasso(full, y, penalty)
     used = [i for i in np.argsort(-np.abs(weights), kind="stable") if abs(weights[i]) > 1e-6]
     return RuleEnsemble(bias, tuple(float(weights[i]) for i in used), tuple(tuple((names[f], g, at) for f, g, at in kept[i]) for i in used))
 
