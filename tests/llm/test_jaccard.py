@@ -82,6 +82,31 @@ def test_frequent_tokens_only_change_the_order(spark, monkeypatch):
         assert got(df, 3, 90, 100) == want
 
 
+def edited_groups(seed):
+    """Large groups of a few edits each, many of them just beyond the threshold, with gains that several texts share."""
+    rng = random.Random(seed)
+    rows = []
+    for size, words in ((90, 120), (60, 60), (40, 40)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(size):
+            ws = base.copy()
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+                at = rng.randrange(len(ws)) if rng.random() < 0.6 else rng.choice([5, 6, 20, 21])
+                ws[at] = rng.choice([f"own{rng.randrange(10**6)}", "both", "gone", base[0]])
+            if rng.random() < 0.2:
+                ws = ws[: rng.randrange(words * 4 // 5, words)]
+            rows.append((len(rows), " ".join(ws)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed, k, num, den", [(1, 3, 90, 100), (2, 3, 90, 100), (3, 5, 80, 100)])
+def test_near_misses_of_large_groups(spark, monkeypatch, seed, k, num, den):
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    rows = edited_groups(seed)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den) == brute(rows, k, num, den)
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1007)] + [(5000, 5000 + i) for i in range(1, 200)]
