@@ -15,9 +15,9 @@ Work stays near-linear in large groups:
 * a star round links the sets of a token's postings to the most central one (that with the fewest tokens of its own);
   what is verified there becomes preliminary components, and postings are then joined by component: members of one
   component are never paired with each other;
-* two crowded sets that are close to the same centre, their hub, are judged by what they lack of it: what they have in common is at most the hub less
-  all that either lacks, plus gains that are not their own; so they must lack enough of the same tokens, and those that need this
-  meet in lists of lacked tokens, which near misses of a group seldom share, not in lists of its common tokens;
+* two crowded sets that are close to the same centre, their hub, are judged by the tokens in which they differ from it (lacked or added): the overlap of
+  the two is that of their differences, plus the hub less all that either lacks. So their sizes say how many differences they must share,
+  and pairs that must share any meet in lists of differences, rarest first and only while enough of both remain, not in lists of the hub's tokens;
 * what remains, pairs of different components that share a token and have room for each other, is joined in full, and a pair is verified if it
   shares as many prefix tokens as its two sizes ask for.
 
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.llm.common import empty_like, materialise, table
@@ -220,12 +220,12 @@ def _own_tokens(docs: DataFrame, crowded: DataFrame, k: int) -> DataFrame:
 
 
 def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: int, den: int, least: int) -> DataFrame:
-    """(a, b, linked, both, lacks) of the pairs of set ids whose similarity is least / den or more, found from the whole texts of their representatives:
-    whether they reach the threshold, the size of the intersection, and the tokens of a that b lacks."""
+    """(a, b, linked, both, differs) of the pairs of set ids whose similarity is least / den or more, found from the whole texts of their representatives:
+    whether they reach the threshold, the size of the intersection, and the tokens that only one of them has."""
     pairs = materialise(pairs)
     asked = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "doc_id", "digest"), "id"))
     if asked.isEmpty():
-        return empty_like(docs.sparkSession, "a long, b long, linked boolean, both long, lacks array<long>")
+        return empty_like(docs.sparkSession, "a long, b long, linked boolean, both long, differs array<long>")
     texts = _own_texts(docs, asked, k).groupBy("id").agg(F.first("text").alias("text"))
     near = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     far = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -243,14 +243,14 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: i
                 either = len(s) + len(t) - both
                 keep.append(den * both >= least * either)
                 if keep[-1]:
-                    rows.append((den * both >= num * either, both, s[~common].view(np.int64)))
+                    rows.append((den * both >= num * either, both, np.setxor1d(s, t, assume_unique=True).view(np.int64)))
             close = batch.filter(pa.array(keep, pa.bool_()))
-            linked, both, lacks = list(zip(*rows, strict=True)) or [[]] * 3
-            found = [pa.array(linked, pa.bool_()), pa.array(both, pa.int64()), pa.array(lacks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([close.column("a"), close.column("b"), *found], ["a", "b", "linked", "both", "lacks"])
+            linked, both, differs = list(zip(*rows, strict=True)) or [[]] * 3
+            found = [pa.array(linked, pa.bool_()), pa.array(both, pa.int64()), pa.array(differs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([close.column("a"), close.column("b"), *found], ["a", "b", "linked", "both", "differs"])
 
     met = pairs.join(near, "b").join(far, "a").select("a", "b", "text_a", "text_b")
-    return materialise(met.mapInArrow(compare, "a long, b long, linked boolean, both long, lacks array<long>"))
+    return materialise(met.mapInArrow(compare, "a long, b long, linked boolean, both long, differs array<long>"))
 
 
 def _sizes_fit(n: str, m: str, num: int, den: int):
@@ -269,58 +269,62 @@ def _fits(n: str, room: str, crowded: str, m: str, room2: str, crowded2: str, nu
 
 
 def _hubs(compared: DataFrame, facts: DataFrame) -> DataFrame:
-    """(id, hub, hub_n, lack, gain, lacks) of the crowded sets that are close to a crowded centre: the most central one, its size, how many of its tokens
-    the set lacks, how many tokens the set has that neither the hub has nor are its own, and the tokens that it lacks."""
+    """(id, hub, hub_n, lack, differs) of the crowded sets that are close to a crowded centre: the most central one, its size, how many of its tokens
+    the set lacks, and the tokens that only one of the two has."""
     crowd = facts.where("crowded")
     centre = crowd.select(F.col("id").alias("a"), F.col("own").alias("own_a"), F.col("n").alias("n_a"))
-    met = compared.join(centre, "a").join(crowd.select(F.col("id").alias("b"), "n", "own"), "b")
-    gain = (F.col("n") - F.col("both") - F.col("own")).alias("gain")
-    hub = F.struct(F.col("a").alias("hub"), F.col("n_a").alias("hub_n"), (F.col("n_a") - F.col("both")).alias("lack"), gain, "lacks")
+    met = compared.join(centre, "a").join(crowd.select(F.col("id").alias("b")), "b")
+    hub = F.struct(F.col("a").alias("hub"), F.col("n_a").alias("hub_n"), (F.col("n_a") - F.col("both")).alias("lack"), "differs")
     met = materialise(met.groupBy(F.col("b").alias("id")).agg(F.min_by(hub, F.struct("own_a", "a")).alias("h")).select("id", "h.*"))
     # a hub that has none lacks nothing of itself
     top = met.select("hub", "hub_n").distinct().join(met.select(F.col("id").alias("hub")), "hub", "left_anti")
-    none = F.lit(0).cast("long")
-    return met.unionByName(top.select(F.col("hub").alias("id"), "hub", "hub_n", none.alias("lack"), none.alias("gain"), F.array().cast("array<long>").alias("lacks")))
+    return met.unionByName(top.select(F.col("hub").alias("id"), "hub", "hub_n", F.lit(0).cast("long").alias("lack"), F.array().cast("array<long>").alias("differs")))
 
 
-def _meetings(mine: DataFrame, key: list[str], num: int, den: int, same_hub: bool) -> DataFrame:
-    """Pairs of sets of different components that share a key and fit each other, one row for each key: (a, b, asks, lacked).
+def _differences(hubs: DataFrame) -> DataFrame:
+    """(id, top, token, left) of the tokens in which a set and another one of its hub differ from it; left: how many of the set's are at
+    least as frequent among the differences, itself included. If two sets share m of them, m are left in both where the first is shared."""
+    posted = hubs.select("id", F.col("hub").alias("top"), F.explode("differs").alias("token"))
+    shared = posted.groupBy("top", "token").agg(F.count("*").alias("c")).where("c > 1")
+    falling = Window.partitionBy("id").orderBy(F.desc("c"), F.desc("token"))
+    return posted.join(shared, ["top", "token"]).withColumn("left", F.row_number().over(falling)).drop("c")
 
-    asks: prefix tokens that a linked pair shares at least. lacked: tokens of their hub that both lack at least, if they have one hub, else 0 or less.
-    same_hub: only pairs that must lack tokens together; else, only the other ones."""
-    facts = ["id", "n", "room", "crowded", "end", "len", "hub", "hub_n", "lack", "gain"]
 
-    def lacked(n, m, lack, lack2, gain, gain2, hub, hub2, hub_n):
-        least = _overlap(n, m, num, den) - F.col(hub_n) + F.col(lack) + F.col(lack2) - F.least(gain, gain2)
-        return F.when(F.col(hub) == F.col(hub2), least).otherwise(0)
+def _meetings(mine: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
+    """Pairs of sets of different components that share a key and fit each other, one row for each key: (a, b, asks, needed).
+
+    asks: prefix tokens that a linked pair shares at least. needed: differences from their hub that both share at least if linked, if they have one hub,
+    else 0 or less; pairs that need more than are left of either are left out."""
+    facts = ["id", "n", "room", "crowded", "end", "len", "hub", "hub_n", "lack", "left"]
+
+    def needed(n, m, lack, lack2, hub, hub2, hub_n):
+        return F.when(F.col(hub) == F.col(hub2), _overlap(n, m, num, den) - F.col(hub_n) + F.col(lack) + F.col(lack2)).otherwise(0)
 
     one_hub = (F.min("hub") == F.max("hub")) & (F.count("hub") == F.count("*"))
     parts = mine.groupBy(*key, "part").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.min("crowded").alias("crowded"),
-        F.when(one_hub, F.min("hub")).alias("hub"), F.min("hub_n").alias("hub_n"), F.min("lack").alias("lack"), F.max("gain").alias("gain"),
+        F.when(one_hub, F.min("hub")).alias("hub"), F.min("hub_n").alias("hub_n"), F.min("lack").alias("lack"), F.max("left").alias("left"),
     )
-    of_part = ("low", "high", "room", "crowded", "hub", "hub_n", "lack", "gain")
+    of_part = ("low", "high", "room", "crowded", "hub", "hub_n", "lack", "left")
     x = parts.select(*key, F.col("part").alias("p"), *of_part)
     y = parts.select(*key, F.col("part").alias("q"), *[F.col(c).alias(c + "2") for c in of_part])
     near = (F.lit(den) * F.col("high2") >= F.lit(num) * F.col("low")) & (F.lit(den) * F.col("high") >= F.lit(num) * F.col("low2"))
     space = ~(F.col("crowded") & F.col("crowded2")) | ((F.col("low2") <= F.col("room")) & (F.col("low") <= F.col("room2")))
-    if not same_hub:
-        space = space & (lacked("low", "low2", "lack", "lack2", "gain", "gain2", "hub", "hub2", "hub_n") <= 0)
-    meet = x.join(y, key).where((F.col("p") < F.col("q")) & near & space).select(*key, "p", "q", *[c + "2" for c in of_part])
+    enough = needed("low", "low2", "lack", "lack2", "hub", "hub2", "hub_n") <= F.least("left", "left2")
+    meet = x.join(y, key).where((F.col("p") < F.col("q")) & near & space & enough).select(*key, "p", "q", *[c + "2" for c in of_part])
     a = mine.select(*key, F.col("part").alias("p"), *[F.col(c).alias(c + "_a") for c in facts])
     b = mine.select(*key, F.col("part").alias("q"), *[F.col(c).alias(c + "_b") for c in facts])
     half = (F.lit(den) * F.col("high2") >= F.lit(num) * F.col("n_a")) & (F.lit(den) * F.col("n_a") >= F.lit(num) * F.col("low2"))
     half = half & (~(F.col("crowded_a") & F.col("crowded2")) | ((F.col("low2") <= F.col("room_a")) & (F.col("n_a") <= F.col("room2"))))
-    if not same_hub:
-        half = half & (lacked("n_a", "low2", "lack_a", "lack2", "gain_a", "gain2", "hub_a", "hub2", "hub_n_a") <= 0)
+    half = half & (needed("n_a", "low2", "lack_a", "lack2", "hub_a", "hub2", "hub_n_a") <= F.least("left_a", "left2"))
     pairs = meet.join(a, [*key, "p"]).where(half).select(*key, "q", *[c + "_a" for c in facts]).join(b, [*key, "q"])
     pairs = pairs.where(_fits("n_a", "room_a", "crowded_a", "n_b", "room_b", "crowded_b", num, den))
-    least = lacked("n_a", "n_b", "lack_a", "lack_b", "gain_a", "gain_b", "hub_a", "hub_b", "hub_n_a")
-    pairs = pairs.where(least > 0 if same_hub else least <= 0)
+    least = needed("n_a", "n_b", "lack_a", "lack_b", "hub_a", "hub_b", "hub_n_a")
+    pairs = pairs.where(least <= F.least("left_a", "left_b"))
     # the set whose prefix ends first lacks at most n - overlap of its prefix tokens in the other
     a_asks, b_asks = F.col("len_a") - F.col("n_a"), F.col("len_b") - F.col("n_b")
     asks = _overlap("n_a", "n_b", num, den) + F.when(F.col("end_a") < F.col("end_b"), a_asks).when(F.col("end_b") < F.col("end_a"), b_asks).otherwise(F.greatest(a_asks, b_asks))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), asks.alias("asks"), least.alias("lacked"))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), asks.alias("asks"), least.alias("needed"))
 
 
 def links(docs: DataFrame, sets: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -349,15 +353,14 @@ def links(docs: DataFrame, sets: DataFrame, k: int = K, num: int = NUM, den: int
     root = components(compared.where("linked").select("a", "b"))
 
     hubs = materialise(_hubs(compared, facts))
-    place = facts.join(root, "id", "left").join(hubs.drop("lacks"), "id", "left").withColumn("room", room)
-    place = place.select("id", F.coalesce("root", "id").alias("part"), "n", "room", "crowded", "end", "len", "hub", "hub_n", "lack", "gain")
-    mine = materialise(posted.select("token", "id").join(place, "id"))
-    pairs = _meetings(mine, ["token"], num, den, same_hub=False)
+    place = facts.join(root, "id", "left").join(hubs.drop("differs"), "id", "left").withColumn("room", room)
+    place = place.select("id", F.coalesce("root", "id").alias("part"), "n", "room", "crowded", "end", "len", "hub", "hub_n", "lack")
+    mine = materialise(posted.select("token", "id").join(place, "id").withColumn("left", F.lit(0)))
+    pairs = _meetings(mine, ["token"], num, den)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).where("c >= asks").select("a", "b")
-    lacking = materialise(hubs.select("id", F.col("hub").alias("top"), F.explode("lacks").alias("token")).join(place, "id"))
-    lacking = _meetings(lacking, ["top", "token"], num, den, same_hub=True)
-    lacking = lacking.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("lacked").alias("lacked")).where("c >= lacked").select("a", "b")
-    rest = _compared(docs, sets, pairs.unionByName(lacking), k, num, den, num).select("a", "b")
+    differing = _meetings(materialise(_differences(hubs).join(place, "id")), ["top", "token"], num, den)
+    differing = differing.where("needed > 0").select("a", "b").distinct()
+    rest = _compared(docs, sets, pairs.unionByName(differing), k, num, den, num).select("a", "b")
     return root.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(rest)
 
 
