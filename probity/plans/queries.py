@@ -153,7 +153,7 @@ def rule_adjusted(spark, sf_dir):
 
 
 def rule_alpha(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity").where("l_linenumber <= 3")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
     return rules.cronbach_alpha(rows, ["l_returnflag"], "l_orderkey", "l_linenumber", "l_quantity")
 
 

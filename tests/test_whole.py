@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from statistics import variance
 
 from probity.operators import overlap
 from probity.plans.queries import QUERIES
@@ -29,3 +30,12 @@ def test_dedup_minhash_finds_pairs_of_any_documents(spark, tmp_path):
     assert {(7, 11), (11, 7), (4, 17), (17, 4)} <= set(want)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, rows)) == sorted(map(tuple, overlap.against_corpus(docs, docs, "doc_id", "text").collect()))
+
+
+def test_rule_alpha_takes_all_items(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [("A", who, item, float(rng.randint(1, 5) + who % 7)) for who in range(30) for item in range(1, 8)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    items = [variance(v for _, _, i, v in rows if i == item) for item in range(1, 8)]
+    alpha = 7 / 6 * (1 - sum(items) / variance(sum(v for _, w, _, v in rows if w == who) for who in range(30)))
+    assert [tuple(r) for r in QUERIES["rule_alpha"](spark, str(tmp_path)).collect()] == [("A", 7, round(alpha, 4), alpha > 0.95)]
