@@ -1,8 +1,10 @@
 """Substring dedup by hashing units of text: the earliest ranked occurrence of a unit stays, the rest are removed.
 
-Units are lines, pairs of neighbouring lines (the shortest paragraphs) and, in lines of several sentences, sentences, of at least `MIN_WORDS` words
-each. A unit is normalised (lower case, single spaces) and gets a 128-bit digest; digests are grouped over all documents
-and the occurrence with the least (doc_id, digest of the text, offset) is kept. Pairs catch the short lines
+Units are lines and, in lines of several sentences, sentences, of at least `MIN_WORDS` words each. A line or sentence with fewer words makes
+units with as many of those after it, and with as many of those before it, as it takes to reach `MIN_WORDS` (blocks of short lines are the
+shortest paragraphs), so each piece of a repeated passage of `MIN_WORDS` words lies in a unit of the passage.
+A unit is normalised (lower case, single spaces) and gets a 128-bit digest; digests are grouped over all documents
+and the occurrence with the least (doc_id, digest of the text, offset) is kept. Blocks catch the short lines
 of a passage that are too common to be judged alone; sentences catch passages that start or end within a line.
 Removed spans keep their offsets, in code points of the original text.
 
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,28 +34,46 @@ MIN_WORDS = 8
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?!\s|$)[^.!?]*)*(?:[.!?]+|$)")
 
 
+def _blocks(pieces: list[tuple[list[str], int, int, int]], min_words: int) -> Iterator[tuple[int, int]]:
+    """[first, last) of the least runs of pieces that reach min_words from each shorter piece on, and up to it."""
+    total = [0, *accumulate(len(p[0]) for p in pieces)]
+    for i, p in enumerate(pieces):
+        if len(p[0]) < min_words:
+            last, first = bisect_left(total, total[i] + min_words), bisect_right(total, total[i + 1] - min_words) - 1
+            if last < len(total):
+                yield i, last
+            if first >= 0:
+                yield first, i + 1
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
     """(digest, start, end) of each unit of a text."""
 
     def digest(words: list[str]) -> bytes:
         return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    at, last = 0, None
-    for line in text.split("\n"):
+    lines, sentences, at = [], [], 0  # (words, start, end, number of the line)
+    for n, line in enumerate(text.split("\n")):
         words = line.lower().split()
         if words:
-            start, end = at + len(line) - len(line.lstrip()), at + len(line.rstrip())
-            if len(words) >= min_words:
-                yield digest(words), start, end
-                for m in _SENTENCE.finditer(line):
-                    piece = m[0]
-                    ws = piece.lower().split()
-                    if min_words <= len(ws) < len(words):
-                        yield digest(ws), at + m.start() + len(piece) - len(piece.lstrip()), at + m.end() - (len(piece) - len(piece.rstrip()))
-            if last and len(words) + len(last[0]) >= min_words and min(len(words), len(last[0])) < min_words:
-                yield digest([*last[0], "\n", *words]), last[1], end
-            last = words, start, end
+            lines.append((words, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), n))
+            for m in _SENTENCE.finditer(line):
+                piece = m[0]
+                ws = piece.lower().split()
+                if ws:
+                    sentences.append((ws, at + m.start() + len(piece) - len(piece.lstrip()), at + m.end() - (len(piece) - len(piece.rstrip())), n))
         at += len(line) + 1
+    seen = set()
+    for pieces in (lines, sentences) if len(sentences) > len(lines) else (lines,):
+        whole = [(i, i + 1) for i, p in enumerate(pieces) if len(p[0]) >= min_words]
+        for first, last in (*whole, *_blocks(pieces, min_words)):
+            span = pieces[first][1], pieces[last - 1][2]
+            if span not in seen:
+                seen.add(span)
+                words = list(pieces[first][0])
+                for before, p in zip(pieces[first : last - 1], pieces[first + 1 : last], strict=True):
+                    words += p[0] if p[3] == before[3] else ["\n", *p[0]]
+                yield digest(words), *span
 
 
 _OCCURRENCE = "digest binary, doc_id long, row binary, start long, end long"

@@ -58,3 +58,19 @@ def test_cases(spark):
     assert len(rows) == 7 and (3, line, []) in rows and (4, "", [(0, len(line))]) in rows
     assert rows.count((4, "É. \n", [(3, 3 + len(line)), (4 + len(line), 4 + 2 * len(line))])) == 2
     assert sub.remove(docs.limit(0)).count() == 0
+
+
+def test_passages_of_short_lines_and_sentences(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    sentences = lambda joints: "".join(words(4) + "." + j for j in joints)
+    lines = "\n".join(words(3) for _ in range(20)), "\n".join(words(1) for _ in range(30)), "\n".join(words(n) for n in (1, 6, 2, 7, 1, 1, 1, 5, 7, 3))
+    docs, want = [], {}
+    for k, passage in enumerate((*lines, sentences("     ").strip(), sentences(" \n \n\n ").strip())):
+        joint = "\n" if passage in lines else " "
+        for d in (2 * k, 2 * k + 1):
+            before, after = words(12) + ".", words(12) + "."
+            docs.append((d, joint.join([before, passage, after])))
+        want[2 * k + 1] = [(len(before) + 1, len(before) + 1 + len(passage))]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in sub.removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
