@@ -34,14 +34,23 @@ TITLES = {
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=lambda t: (-len(t), t))) + ")"
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_CARD = r"(?<![\p{L}\p{N}-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![\p{L}\p{N}])"
+_IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])"
+_SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
+#: A digit of a phone number and what may stand before it; another entity that starts there is none of its groups.
+_NEXT = rf"(?:[ .-](?!{_IP}|{_SSN}|{_CARD}))?[0-9]"
+#: 7 to 15 digits in groups of any length, as many whole groups as fit, the area in brackets or not.
+_WORLD = rf"[0-9](?:{_NEXT}){{6,14}}(?![\p{{L}}\p{{N}}])|" + "|".join(
+    rf"[0-9]{{{c}}}[ .-]?\([0-9]{{{a}}}\)(?:{_NEXT}){{{max(1, 7 - c - a)},{15 - c - a}}}(?![\p{{L}}\p{{N}}])" for c in (1, 2, 3) for a in (1, 2, 3, 4)
+)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,24}(?![\p{L}\p{N}])",
     "name": rf"(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])",
-    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,12}(?:[ .-][0-9]{2,5}){0,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])",
+    "ip": _IP,
+    "ssn": _SSN,
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])\+(?:{_WORLD})|" + r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,12}(?:[ .-][0-9]{2,5}){0,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![\p{L}\p{N}])",
+    "card": _CARD,
 }
 ANY = "|".join(PATTERNS.values())
 _HEX = "0123456789abcdef"
@@ -209,7 +218,7 @@ def surrogate(x: Column, draws: Column, key: str = KEY) -> Column:
 
 def matches(text: Column) -> Column:
     """All matches in a text, in order. Texts without a digit, an `@` or a title are not searched."""
-    hint = text.rlike(rf"[0-9]\.?[0-9]|@|(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}")
+    hint = text.rlike(rf"[0-9]\.?[0-9]|\+[0-9]|@|(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}")
     return F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 

@@ -83,3 +83,31 @@ def test_no_python_on_the_way(spark):
 @pytest.mark.parametrize("digits, good", [("4111111111111111", True), ("4111111111111112", False)])
 def test_luhn(spark, digits, good):
     assert (spark.range(1).select(pii._luhn(F.lit(digits))).first()[0] == 0) == good
+
+
+NUMBERS = ("+33 1 23 45 67 89", "+61 2 9374 4000", "+49 30 123456", "+49 (0)30 123456", "+358 (9) 1 2345678", "+1 (017) 555-7713", "+4930123456", "+1 2 3 4 5 6 7", "+44 20 7946 0958", "+86 123456789012")
+
+
+@pytest.mark.parametrize("after", ["", ".", " and 5 more", ", 12", ") 34 56"])
+def test_phone_numbers_are_replaced_whole(spark, after):
+    rows = run(spark, [(i, f"call {n}{after}") for i, n in enumerate(NUMBERS)])
+    for i, n in enumerate(NUMBERS):
+        text, count = rows[i]
+        new = text[5 : 5 + len(n)]
+        assert count == 1 and text == f"call {new}{after}" and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", n), (n, text)
+        found = spark.range(1).select(pii.matches(F.lit(f"call {n}{after}"))).first()[0]
+        assert found == [n]
+
+
+def test_phone_numbers_next_to_other_numbers(spark):
+    cases = {
+        "+49 30 123456 4111 1111 1111 1111": ["+49 30 123456", "4111 1111 1111 1111"],
+        "+49 30 123456 192.168.1.10": ["+49 30 123456", "192.168.1.10"],
+        "+33 1 23 45 67 89 123-45-6789": ["+33 1 23 45 67 89", "123-45-6789"],
+        "+33 1 23 45 67 89 +61 2 9374 4000": ["+33 1 23 45 67 89", "+61 2 9374 4000"],
+        "+1 (017) 555-7713 1000 2000 3000": ["+1 (017) 555-7713 1000"],
+        "a+1 2 3 and +1 2": [],
+    }
+    for text, want in cases.items():
+        found, kinds = spark.range(1).select(pii.matches(F.lit(text)).alias("m")).select("m", F.transform("m", pii.kind_of)).first()
+        assert found == want and all((k == "phone") == (m[0] == "+") for m, k in zip(found, kinds, strict=True))
