@@ -213,7 +213,7 @@ QUERIES = {
     "llm_score": llm_score,
     "dedup_pairs": lambda s, d: overlap.similar_pairs(T(s, d, "documents"), "doc_id", "text"),
     "dedup_minhash": dedup_minhash,
-    "self_duplicates": lambda s, d: overlap.repeated_passages(T(s, d, "documents"), "doc_id", "text"),
+    "self_duplicates": lambda s, d: overlap.repeated_passages(T(s, d, "documents"), "doc_id", "text", most=None),
     "contamination": lambda s, d: overlap.contamination(T(s, d, "documents"), T(s, d, "benchmark"), "doc_id", "item_id", "text"),
     "doi_extract": doi_extract,
     "doi_summary": doi_summary,

@@ -39,3 +39,12 @@ def test_rule_alpha_takes_all_items(spark, tmp_path):
     items = [variance(v for _, _, i, v in rows if i == item) for item in range(1, 8)]
     alpha = 7 / 6 * (1 - sum(items) / variance(sum(v for _, w, _, v in rows if w == who) for who in range(30)))
     assert [tuple(r) for r in QUERIES["rule_alpha"](spark, str(tmp_path)).collect()] == [("A", 7, round(alpha, 4), alpha > 0.95)]
+
+
+def test_self_duplicates_gives_all_pairs(spark, tmp_path):
+    block, other, filler = ([f"{name}{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(n)] for name, n in (("one", 1200), ("two", 300), ("gap", 700)))
+    text = " ".join([*block, *other, *filler, *block, *other])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["first"], r["second"]) for r in QUERIES["self_duplicates"](spark, str(tmp_path)).collect()}
+    # the copied stretch of 1500 words starts 2200 words later: 27 windows of 200 words at steps of 50 lie in it
+    assert {(at, at + 2200) for at in range(0, 1301, 50)} <= got
