@@ -77,8 +77,9 @@ def doi_extract(spark, sf_dir):
 
 
 def _works(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    return d.select(F.concat(F.lit("10.1234/ABC."), C("doc_id").cast("string")).alias("doi"), C("source").alias("title")).union(spark.range(7).select(F.concat(F.lit("10.98765/q-"), C("id").cast("string")), F.lit("journal")))
+    """A work for each document; those of two documents in three are under DOIs that no text refers to."""
+    doi = F.concat(F.when(C("doc_id") % 3 == 0, "10.1234/ABC.").otherwise("10.1234/UNCITED."), C("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(doi.alias("doi"), C("source").alias("title")).union(spark.range(7).select(F.concat(F.lit("10.98765/q-"), C("id").cast("string")), F.lit("journal")))
 
 
 def doi_summary(spark, sf_dir):

@@ -5,7 +5,7 @@ import random
 from statistics import variance
 
 from probity.operators import overlap
-from probity.plans.queries import QUERIES
+from probity.plans.queries import QUERIES, _works
 
 
 def test_dedup_minhash_finds_pairs_of_any_documents(spark, tmp_path):
@@ -48,3 +48,11 @@ def test_self_duplicates_gives_all_pairs(spark, tmp_path):
     got = {(r["first"], r["second"]) for r in QUERIES["self_duplicates"](spark, str(tmp_path)).collect()}
     # the copied stretch of 1500 words starts 2200 words later: 27 windows of 200 words at steps of 50 lie in it
     assert {(at, at + 2200) for at in range(0, 1301, 50)} <= got
+
+
+def test_doi_snapshot_holds_a_work_for_each_document(spark, tmp_path):
+    spark.createDataFrame([(i, "s", "text") for i in range(10)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    works = [r["doi"] for r in _works(spark, str(tmp_path)).collect()]
+    assert len(works) == len(set(works)) == 10 + 7 and {w.rpartition(".")[2] for w in works if w.startswith("10.1234/")} == set(map(str, range(10)))
+    (row,) = QUERIES["doi_summary"](spark, str(tmp_path)).collect()
+    assert row["total"] == 40 and row["n_ok"] == 4 + 10 and row["n_invalid"] == 10 and row["n_not_found"] == 16
