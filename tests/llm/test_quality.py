@@ -38,3 +38,15 @@ def test_cases(spark):
         assert len(out) == 5 and all(0 <= r["_score"] <= 1 and r["predicted"] in (0, 1) and r["score"] == 1.0 for r in out)
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.train(docs.limit(0), labels).bias == 0.0
+
+
+def test_bound_prefers_no_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(1 + i % 4, "word " * (i + 1)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    kept = []
+    monkeypatch.setattr(quality, "held_out", lambda doc_id: F.lit(False))
+    monkeypatch.setattr(quality, "fit", lambda x, y: kept.append(x))
+    quality.train(docs, labels, max_rows=20)
+    every = docs.select(quality.features(F.col("text")).alias("f")).select("f.*").toPandas()[list(quality.FEATURES)].to_numpy(float)
+    words = next(k for k in range(every.shape[1]) if len(set(every[:, k])) == 200)
+    assert len(kept[0]) == 40 and sorted(kept[0][:, words])[20] > sorted(every[:, words])[50]
