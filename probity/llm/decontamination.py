@@ -10,7 +10,8 @@ The benchmark is read in blocks of at most `BLOCK_CHARS` characters, each of whi
 the workers is bounded by that size. Documents are never shuffled.
 
 Tokens are lower-cased words without anything but letters and digits; words without any are skipped. Items
-shorter than the masks are looked for as a whole, without replaced tokens; items of fewer than `SHORTEST` tokens are left out.
+shorter than the masks are looked for as a whole, without replaced tokens; items of fewer than `SHORTEST` tokens are left out,
+and `left_out` names them; tokens end at blanks, so in a script without blanks a whole item may be one.
 
 Cases: null and empty texts hold nothing; texts are read whole; of repeated items each is reported; rows of one doc_id are judged
 each for itself; an empty benchmark finds nothing and keeps all; other columns pass through `clean` untouched.
@@ -144,6 +145,18 @@ def blocks(benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> Iterator[Matc
         yield Matcher([tuple(r) for r in part.collect()])
 
 
+def left_out(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_tokens) of the items that are not looked for, because they have fewer than SHORTEST tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        for batch in batches:
+            found = [(i, n) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if (n := len(hashes.of((t or "").encode("utf-8")))) < SHORTEST]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["item_id", "n_tokens"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, n_tokens long")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, matched and all tokens of the item, first and last token place in the document."""
     schema = "doc_id long, item_id long, n_matched long, n_item long, first_token long, last_token long"

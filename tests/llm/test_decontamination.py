@@ -69,3 +69,8 @@ def test_cases(spark):
     assert sorted(rows, key=str) == [(3, 5), (None, 3), (None, 3)]
     assert sorted(r["doc_id"] for r in dec.clean(docs, bench).collect()) == [1, 2, 4] and dec.clean(docs, bench).columns == docs.columns
     assert dec.overlaps(docs.limit(0), bench).count() == 0 and dec.overlaps(docs, bench.limit(0)).count() == 0 and dec.clean(docs, bench.limit(0)).count() == 5
+
+
+def test_items_that_are_not_looked_for_are_named(spark):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two, three four five!"), (4, "one - two"), (5, "这是一个没有空格的句子")], "item_id long, text string")
+    assert sorted(map(tuple, dec.left_out(bench).collect())) == [(1, 0), (2, 0), (4, 2), (5, 1)]
