@@ -111,3 +111,52 @@ def test_phone_numbers_next_to_other_numbers(spark):
     for text, want in cases.items():
         found, kinds = spark.range(1).select(pii.matches(F.lit(text)).alias("m")).select("m", F.transform("m", pii.kind_of)).first()
         assert found == want and all((k == "phone") == (m[0] == "+") for m, k in zip(found, kinds, strict=True))
+
+
+def test_one_person_has_one_surrogate_whatever_the_title(spark):
+    rows = run(spark, [(1, "Mrs Anna Smith came. Dr Anna Smith spoke. Later Anna Smith left, and Smith slept; Anna too. Bananna Smithers stayed."), (None, "Rabbi Cohen and Prof Anna Smith. My name is Ludwig van Beethoven."), (2, "Smith is nobody here.")])
+    text, n = rows[1]
+    first, given, surname = re.match(r"Mrs (([A-Z][a-z]+a) ([A-Z][a-z]+)) came", text).groups()
+    assert text == f"Mrs {first} came. Dr {first} spoke. Later {first} left, and {surname} slept; {given} too. Bananna Smithers stayed." and n == 5
+    other, n = rows[None]
+    assert n == 3 and f"Prof {first}." in other and re.fullmatch(r"Rabbi (?!Cohen)[A-Z][a-z]+ and Prof \w+ \w+\. My name is (?!Ludwig)[A-Z][a-z]+ van (?!Beethoven)[A-Z][a-z]+\.", other)
+    assert rows[2] == ("Smith is nobody here.", 0)
+
+
+def test_surrogates_never_run_out(spark, monkeypatch):
+    # ten surrogates for thirty numbers, until they get longer
+    monkeypatch.setattr(pii, "_number", lambda unit, draw, key: F.repeat((F.conv(F.substring(pii._hex(unit, draw, 0, key), 1, 6), 16, 10).cast("int") % 10).cast("string"), F.lit(60)))
+    rows = run(spark, [(i, f"SSN 123-45-67{i}") for i in range(10, 40)])
+    new = {i: t.removeprefix("SSN ") for i, (t, _) in rows.items()}
+    assert len(set(new.values())) == 30 and all(re.fullmatch(r"(\d)\1\1-\1\1-\1{4,}", t) for t in new.values()) and not set(new.values()) & {f"123-45-67{i}" for i in range(10, 40)}
+
+
+def test_accounts_are_keyed_and_keep_valid_check_digits(spark):
+    mod = lambda a: int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97
+    account = "GB82WEST12345698765432"
+    assert mod(account) == 1
+    docs = spark.createDataFrame([(1, f"pay {account} or {account[:4]} WEST 1234 5698 7654 32 or GB00WEST12345698765432")], "doc_id long, text string")
+    one, two = (pii.replace(docs, key).first()["text"] for key in ("k1", "k2"))
+    found = re.fullmatch(r"pay (GB\d\d[A-Z]{4}\d{14}) or (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) or (GB\d\d[A-Z]{4}\d{14})", one)
+    assert found and found[1] == found[2].replace(" ", "") and mod(found[1]) == 1 and found[1][4:8] != "WEST" and found[1] != found[3]
+    assert one != two and one.split()[1][4:8] != two.split()[1][4:8]
+
+
+def test_a_map_of_its_own_replaces_as_the_operator_does(spark):
+    """An independent pass over the texts: entities by own expressions, each replaced by what its first place became, must give the operator's texts."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    out = {r["doc_id"]: r["text"] for r in pii.query(spark, SF).collect()}
+    own = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w.-]+\.[a-z]{2,}|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)|(?<![\w+])\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w-])\d{13,19}(?!\w)")
+    became = {}
+    for d, text in rows:
+        for a, b in zip(own.findall(text), own.findall(out[d]), strict=True):
+            became.setdefault(a.lower(), b.lower())
+    other = [d for d, text in rows if own.sub(lambda m: became[m[0].lower()], text).lower() != out[d].lower()]
+    assert len(became) > 20 and len(set(became.values())) == len(became) and not set(became) & set(became.values()) and not other
+
+
+def test_no_numbers_of_other_kinds_and_no_clash_of_names(spark):
+    df = spark.createDataFrame([("x", "+100 points, +12 345 and ask a@b.com, Mr Xi Li", 1, 2, 3, 4)], "text_facts string, text string, text_key long, text_key2 long, rewritten int, draws_id int")
+    out = pii.replace(df)
+    r = out.first()
+    assert out.columns == [*df.columns, "n_entities"] and r["text"].startswith("+100 points, +12 345 and ask ") and r["n_entities"] == 2 and (r[0], r[2], r[3], r[4], r[5]) == ("x", 1, 2, 3, 4)
