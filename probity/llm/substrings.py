@@ -2,13 +2,14 @@
 
 Units are lines and, in lines of several sentences, sentences, of at least `MIN_WORDS` words each. A line or sentence with fewer words makes
 units with as many of those after it, and with as many of those before it, as it takes to reach `MIN_WORDS` (blocks of short lines are the
-shortest paragraphs), so each piece of a repeated passage of `MIN_WORDS` words lies in a unit of the passage.
+shortest paragraphs), so each piece of a repeated passage or paragraph of `MIN_WORDS` words lies in a unit of it.
 A unit is normalised (lower case, single spaces) and gets a 128-bit digest; digests are grouped over all documents
 and the occurrence with the least (doc_id, digest of the text, offset) is kept. Blocks catch the short lines
 of a passage that are too common to be judged alone; sentences catch passages that start or end within a line.
-Removed spans keep their offsets, in code points of the original text.
+Removed spans keep their offsets, in code points of the original text. Units overlap, so what belongs to a kept occurrence of a repeated unit is never
+removed: each repeated unit stays whole in one place.
 
-Firsts are found by partial aggregation, so a unit that a third of all documents hold is one row per task; only
+Units are cut once and checkpointed. Firsts are found by partial aggregation, so a unit that a third of all documents hold is one row per task; only
 units that occur again are joined back to their occurrences, and that join can be split where a digest is hot.
 
 Cases: null and blank texts have no units; rows of one doc_id and text rank alike and are treated alike, so repeated rows keep the same
@@ -28,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.common import fresh, table
+from probity.llm.common import fresh, materialise, table
 
-MIN_WORDS = 8
+#: Words of a unit. Shorter lines are mostly common phrases of texts that are not copies: with 8, one text in four that shares no passage loses a line.
+MIN_WORDS = 16
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?!\s|$)[^.!?]*)*(?:[.!?]+|$)")
 
 
@@ -104,25 +106,59 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each unit to remove: doc_id, row, start, end, and where the kept occurrence is (keep_doc_id, keep_start)."""
-    found = occurrences(docs, min_words)
+    """A row for each occurrence of a unit that occurs again: doc_id, row, start, end, whether it is kept, and where the kept one is (keep_doc_id, keep_start)."""
+    found = materialise(occurrences(docs, min_words))
     rank = F.struct("doc_id", "row", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first")
-    again = found.join(first, found["digest"] == first["f_digest"]).where(~rank.eqNullSafe(F.col("first")))
-    return again.select("doc_id", "row", "start", "end", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("digest").alias("f_digest"), "first")
+    return found.join(first, found["digest"] == first["f_digest"]).select(
+        "doc_id", "row", "start", "end", rank.eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")
+    )
+
+
+def _outside(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, merged, without what lies in the kept ones; both sorted."""
+    out, k = [], 0
+    for start, end in _merged(spans):
+        while k < len(kept) and kept[k][1] <= start:
+            k += 1
+        i = k
+        while start < end:
+            if i == len(kept) or kept[i][0] >= end:
+                out.append((start, end))
+                break
+            if kept[i][0] > start:
+                out.append((start, kept[i][0]))
+            start, i = max(start, kept[i][1]), i + 1
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and out[-1][1] >= start:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each text that loses something: doc_id, row, and its removed spans, merged, in order."""
-    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    span = lambda kept: F.array_sort(F.collect_set(F.when(F.col("kept") == F.lit(kept), F.struct("start", "end"))))
+    # spans of one text are as many as its units
+    per = repeats(docs, min_words).groupBy("doc_id", "row").agg(span(False).alias("gone"), span(True).alias("kept")).where(F.size("gone") > 0)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def merge(acc, x):
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(F.element_at(acc, -1)["start"], F.greatest(F.element_at(acc, -1)["end"], x["end"]))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(x)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = lambda column: [[(x["start"], x["end"]) for x in xs] for xs in column.to_pylist()]
+        for batch in batches:
+            left = [_outside(gone, _merged(kept)) for gone, kept in zip(pairs(batch.column("gone")), pairs(batch.column("kept")), strict=True)]
+            spans = pa.array([[{"start": a, "end": b} for a, b in xs] for xs in left], kind)
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), spans], ["doc_id", "row", "spans"])
+            yield out.filter(pa.array([bool(xs) for xs in left], pa.bool_()))
 
-    # spans of one text are as many as its units; a span within the one before it adds nothing
-    per = repeats(docs, min_words).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return per.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<start:long,end:long>>"), merge))
+    return per.mapInArrow(run, "doc_id long, row binary, spans array<struct<start:long,end:long>>")
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
