@@ -5,8 +5,8 @@ of labelled rows; each path from a root becomes a conjunctive rule over statisti
 regression over all rules keeps a few of them. The score is the logistic of the kept rules' weights, as one
 expression, so scoring is a projection over any number of documents.
 
-The sample holds at most `max_rows` labelled rows, those with the smallest digest of their doc_id; only it
-reaches the driver. Labels, lang, source and doc_id are no inputs of a score.
+The sample holds at most `max_rows` labelled rows, those with the smallest digest of their doc_id; the model is fitted to it in one
+task, and only the model reaches the driver. Labels, lang, source and doc_id are no inputs of a score.
 
 Cases: null and empty texts have all statistics 0 and get a score like any other; without labelled rows the score is 0.5, with one
 class only it is that class's smoothed share; null labels are left out; a doc_id labelled twice counts twice; repeated
@@ -16,9 +16,12 @@ rows are scored alike; other columns pass through `score` untouched.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,10 @@ class RuleEnsemble:
     weights: tuple[float, ...]
     rules: tuple[tuple[tuple[str, bool, float], ...], ...]
 
+    def of(self, text: Column) -> Column:
+        """The score of a text; its statistics stand in the plan once, whatever filters are pushed."""
+        return let(features(text), self.column)
+
     def column(self, stats: Column) -> Column:
         total = F.lit(self.bias)
         for weight, rule in zip(self.weights, self.rules, strict=True):
@@ -181,16 +188,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     # at most max_rows pairs of numbers, so broadcasting them is safe at any size
     rows = docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id").select("label", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")).alias("mark"), features(F.col("text")).alias("f")).select("label", "mark", "f.*")
     # a doc_id may occur more than once in docs: the bound holds for the rows that are sent, too; a digest says which, so that no length is preferred
-    rows = rows.orderBy("mark", "label").limit(2 * max_rows).toPandas()
-    return fit(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(), **how)
+    rows = rows.orderBy("mark", "label").limit(2 * max_rows).select("label", *FEATURES).coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", *FEATURES)]) for b in batches]
+        table_ = np.concatenate(parts) if parts else np.empty((0, 1 + len(FEATURES)))
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(fit(table_[:, 1:], table_[:, 0], **how)))])], ["model"])
+
+    found = rows.mapInArrow(run, "model string").first()  # no row if no partition holds one
+    if found is None:
+        return fit(np.empty((0, len(FEATURES))), np.empty(0), **how)
+    model = json.loads(found[0])
+    return RuleEnsemble(model["bias"], tuple(model["weights"]), tuple(tuple((name, greater, at) for name, greater, at in rule) for rule in model["rules"]))
 
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5 on)."""
-    stats, s = fresh(docs, "stats", "score")
-    out = docs.withColumn(stats, features(F.col("text"))).withColumn(s, model.column(F.col(stats))).drop(stats)
-    (p,) = fresh(docs, "predicted")
-    return out.withColumn(p, (F.col(s) >= 0.5).cast("int"))
+    s, p = fresh(docs, "score", "predicted")
+    return docs.withColumn(s, model.of(F.col("text"))).withColumn(p, (F.col(s) >= 0.5).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
