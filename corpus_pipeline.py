@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import decontamination, jaccard, mixing, pii, quality
-from probity.llm.common import fresh, table
+from probity.llm.common import table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the rule ensemble, learned from `labels`, scores below one half."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    (stats,) = fresh(docs, "stats")
-    return docs.withColumn(stats, quality.features(F.col("text"))).where(model.column(F.col(stats)) >= 0.5).drop(stats)
+    return docs.where(model.of(F.col("text")) >= 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
