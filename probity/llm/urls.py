@@ -5,9 +5,13 @@ is on the list and `allow` otherwise. Blocks are 64-bit words, one for each four
 four bits of one word. Pages whose bits are all set go on to the exact join on the canonical URL, which
 removes false positives; all others are allowed at once. Only DataFrame functions are used.
 
+The filter's words take two bytes for each listed URL. While they are `BROADCAST_WORDS` or fewer they are packed into arrays of `PAGE_WORDS`
+and broadcast, so that no page is shuffled before the filter and only possible hits are shuffled behind it; a longer list is met by shuffling
+on the block, with pages without a canonical URL or with a rule kept out of it.
+
 Cases: a null url or one without `://` has an empty host and path, fits no rule and is allowed; equal rules
 in length are tried in code-point order; an empty list blocks nothing; repeated pages are judged
-alike; other columns of the pages pass through `judge` untouched.
+alike; other columns of the pages pass through `judge` untouched, and the columns it adds get another name if a page has theirs.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.common import fresh, lower_ascii, table
+from probity.llm.common import fresh, lower_ascii, materialise, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: 8 bytes each: 32 MB for 16 million listed URLs.
+BROADCAST_WORDS = 1 << 22
+PAGE_WORDS = 1 << 12
 
 
 def _rest(url: Column) -> Column:
@@ -68,28 +75,37 @@ def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
     return listed.groupBy(_block(F.col("canonical"), n_blocks).alias("block")).agg(F.bit_or(_bits(F.col("canonical"))).alias("word"))
 
 
+def _packed(words: DataFrame) -> DataFrame:
+    """(block, word) -> (page, words): PAGE_WORDS words in order of their blocks, 0 where a block has none."""
+    page = F.floor(F.col("block") / PAGE_WORDS)
+    per = words.groupBy(page.alias("page")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("block") % PAGE_WORDS).cast("int").alias("at"), "word"))).alias("by"))
+    return per.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long"))).alias("words"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """Adds host, path, rule, verdict to pages. listed: one column `canonical`; its size is known only at run time, so
-    the joins have no broadcast hint: adaptive execution broadcasts what it has measured to be small."""
+    """Adds host, path, rule, verdict to pages. listed: one column `canonical`."""
     rules_by = F.create_map(*[F.lit(x) for r in rules for x in r])
-    own = fresh(pages, "host", "path", "rule", "canon", "block")
-    h, p, r, u, b = own
-    listed = listed.where("canonical is not null").distinct()
-    n_blocks = max(1, listed.count() // 4)
+    h, p, r, verdict, u, b, key, word, exact = fresh(pages, "host", "path", "rule", "verdict", "canon", "block", "filter_key", "filter_word", "listed_canon")
+    listed = materialise(listed.where("canonical is not null").distinct())
+    n_blocks = max(1, -(-listed.count() // 4))
     cols = [F.col(f"`{c}`") for c in pages.columns]
-    seen = pages.select(*cols, host(F.col("url")).alias(h), path(F.col("url")).alias(p)).withColumn(r, rule_of(F.col(h), F.col(p), rules)).withColumn(u, canonical(F.col("url")))
     back = [*cols, F.col(h), F.col(p), F.col(r)]
-    ruled = seen.where(F.col(r).isNotNull()).select(*back, F.element_at(rules_by, F.col(r)).alias("verdict"))
-    asked = seen.where(F.col(r).isNull()).withColumn(b, _block(F.col(u), n_blocks))
-    filt = bloom(listed, n_blocks).select(F.col("block").alias("f_block"), "word")
-    passed = asked.join(filt, asked[b] == filt["f_block"], "left")
+    seen = pages.select(*cols, host(F.col("url")).alias(h), path(F.col("url")).alias(p), canonical(F.col("url")).alias(u)).withColumn(r, rule_of(F.col(h), F.col(p), rules))
+    asks = F.col(r).isNull() & F.col(u).isNotNull()
+    words, place = bloom(listed, n_blocks), F.col(b)
+    if n_blocks <= BROADCAST_WORDS:
+        words, place = F.broadcast(_packed(words).select(F.col("page").alias(key), F.col("words").alias(word))), F.floor(F.col(b) / PAGE_WORDS)
+        bits_there = F.get(F.col(word), F.pmod(F.col(b), F.lit(PAGE_WORDS)).cast("int"))
+    else:
+        words, bits_there = words.select(F.col("block").alias(key), F.col("word").alias(word)), F.col(word)
+    asked = seen.where(asks).withColumn(b, _block(F.col(u), n_blocks))
     bits = _bits(F.col(u))
-    maybe = F.coalesce(F.col("word").bitwiseAND(bits) == bits, F.lit(False)) & F.col(u).isNotNull()
-    exact = listed.select(F.col("canonical").alias("l_canonical"))
-    hits = passed.where(maybe).join(exact, F.col(u) == F.col("l_canonical"), "left")
-    checked = hits.select(*back, F.when(F.col("l_canonical").isNotNull(), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
-    clear = passed.where(~maybe).select(*back, F.lit("allow").alias("verdict"))
-    return ruled.unionByName(clear).unionByName(checked)
+    passed = asked.join(words, place == F.col(key), "left").withColumn(b, F.coalesce(bits_there.bitwiseAND(bits) == bits, F.lit(False)))
+    hits = passed.where(F.col(b)).join(listed.select(F.col("canonical").alias(exact)), F.col(u) == F.col(exact), "left")
+    of = lambda df, v: df.select(*back, v.alias(verdict))
+    ruled = of(seen.where(~asks), F.coalesce(F.element_at(rules_by, F.col(r)), F.lit("allow")))
+    clear = of(passed.where(~F.col(b)), F.lit("allow"))
+    return ruled.unionByName(clear).unionByName(of(hits, F.when(F.col(exact).isNotNull(), F.lit("block")).otherwise(F.lit("allow"))))
 
 
 def reported(pages: DataFrame) -> DataFrame:

@@ -24,3 +24,38 @@ def test_bloom_filter_has_no_false_negatives(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.org/p/") for i in range(6000)], "page_id long, url string")
     got = {r["page_id"] for r in urls.judge(pages, listed).where("verdict = 'block'").collect()}
     assert got == set(range(3000))
+
+
+CLASHES = ("word", "verdict", "l_canonical", "path", "host", "rule", "canon", "block", "filter_key", "filter_word", "listed_canon", "canonical", "f_block", "page")
+
+
+def test_any_other_columns_pass_untouched(spark, monkeypatch):
+    rows = [(1, "http://bad.org/a/?q=1"), (2, "http://good.org/"), (3, "http://x.net/a"), (4, None), (5, "no")]
+    pages = spark.createDataFrame([(*r, *range(len(CLASHES))) for r in rows], "page_id long, url string, " + ", ".join(f"{c} int" for c in CLASHES))
+    listed = spark.createDataFrame([("bad.org/a",), ("worse.org/b",)], "canonical string")
+    for most in (urls.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(urls, "BROADCAST_WORDS", most)
+        out = urls.judge(pages, listed)
+        assert out.columns == [*pages.columns, "_host", "_path", "_rule", "_verdict"]
+        got = {r["page_id"]: r for r in out.collect()}
+        assert {i: r["_verdict"] for i, r in got.items()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+        assert all(tuple(r[2 : 2 + len(CLASHES)]) == tuple(range(len(CLASHES))) for r in got.values())
+
+
+def test_pages_are_not_shuffled_before_the_filter(spark):
+    listed = spark.createDataFrame([(f"h{i}.org/p",) for i in range(30_000)], "canonical string")
+    pages = spark.range(60_000).selectExpr("id AS page_id", "concat('http://h', id, '.org/p/') AS url")
+    out = urls.judge(pages, listed)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    clear = urls.judge(pages, listed).where("verdict = 'allow'")
+    assert clear.count() == 30_000 and out.where("verdict = 'block'").count() == 30_000
+
+
+def test_both_ways_of_the_filter_agree(spark, monkeypatch):
+    listed = spark.createDataFrame([(f"h{i}.org/p",) for i in range(0, 9000, 3)], "canonical string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/p/" if i % 7 else None) for i in range(9000)], "page_id long, url string")
+    monkeypatch.setattr(urls, "PAGE_WORDS", 16)
+    one = {tuple(r) for r in urls.judge(pages, listed).collect()}
+    monkeypatch.setattr(urls, "BROADCAST_WORDS", 0)
+    assert one == {tuple(r) for r in urls.judge(pages, listed).collect()} and len(one) == 9000
