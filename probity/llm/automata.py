@@ -2,7 +2,7 @@
 
 The syntax is what secret rules need: ASCII literals, `[...]` classes with ranges and `^`, `\\xHH` and escaped
 signs, groups, `|`, `?`, `*`, `+`, `{n}`, `{n,}`, `{n,m}`. A rule's automaton is built as a tree, then as a
-nondeterministic automaton, and all rules together, each free to start at every byte, are made
+nondeterministic automaton, and all rules together, each free to start at every byte or at the first one only, read forward or backward, are made
 deterministic by subset construction and minimised by partition refinement over byte classes.
 """
 
@@ -91,6 +91,35 @@ class _Parser:
         return frozenset(members | {b ^ 32 for b in members if chr(b).isalpha() and b < 128})
 
 
+def parse(pattern: str, fold: bool = False):
+    """The tree of a pattern; fold: ASCII letters stand for both cases."""
+    parser = _Parser(pattern, fold)
+    tree = parser.either()
+    if parser.i != len(pattern):
+        raise ValueError(f"cannot read {pattern}")
+    return tree
+
+
+def cut(tree, keep: int = 1):
+    """The tree without needless repetitions at its end: a match of it starts wherever one of the tree starts. A tree that is one repeated
+    set of bytes is cut to `keep` of them, for it has no shorter match to tell from the start of a longer one."""
+    if tree[0] == "and" and tree[1] and tree[1][-1][0] == "times" and tree[1][-1][3] is None:
+        _, part, least, _ = tree[1][-1]
+        n = max(least, keep) if len(tree[1]) == 1 and part[0] == "set" else least
+        return ("and", [*tree[1][:-1], ("times", part, n, n)])
+    return tree
+
+
+def _turned(tree):
+    """The tree that reads the same texts backward."""
+    kind = tree[0]
+    if kind == "and":
+        return ("and", [_turned(t) for t in reversed(tree[1])])
+    if kind == "or":
+        return ("or", [_turned(t) for t in tree[1]])
+    return ("times", _turned(tree[1]), *tree[2:]) if kind == "times" else tree
+
+
 class _Nfa:
     def __init__(self):
         self.edges: list[list[tuple[frozenset[int] | None, int]]] = []
@@ -137,16 +166,17 @@ def compile_rules(rules: list[tuple[str, bool]], most_states: int = 60_000) -> t
     """[(pattern, either case)] -> (transitions by state and byte, bit mask of the rules that a state accepts).
 
     State 0 is the start. After each byte the state accepts a rule if some match of it ends there."""
+    return compile_trees([parse(*r) for r in rules], most_states=most_states)
+
+
+def compile_trees(trees: list, free: bool = True, backward: bool = False, most_states: int = 60_000) -> tuple[list[list[int]], list[int]]:
+    """As compile_rules; free: a match may start at each byte, else at the first one only; backward: the bytes come from the end of the text to its start."""
     nfa = _Nfa()
     start, accepts = nfa.state(), {}
-    for k, (pattern, fold) in enumerate(rules):
-        parser = _Parser(pattern, fold)
-        tree = parser.either()
-        if parser.i != len(pattern):
-            raise ValueError(f"cannot read {pattern}")
+    for k, tree in enumerate(trees):
         first = nfa.state()
         nfa.edges[start].append((None, first))
-        accepts[nfa.add(tree, first)] = 1 << k
+        accepts[nfa.add(_turned(tree) if backward else tree, first)] = 1 << k
 
     def closure(states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -171,7 +201,7 @@ def compile_rules(rules: list[tuple[str, bool]], most_states: int = 60_000) -> t
         row = []
         for c in range(len(kinds)):
             moved = {to for s in here for on, to in nfa.edges[s] if on is not None and sample[c] in on}
-            there = closure(moved) | home  # a match may start at each byte
+            there = closure(moved) | home if free else closure(moved)
             if there not in number:
                 number[there] = len(number)
                 if len(number) > most_states:

@@ -1,11 +1,11 @@
-"""Secret scans: one deterministic byte automaton for all rules finds where matches end, in one pass over each text.
+"""Secret scans: all rules are compiled into deterministic byte automata; each text is read by them, never by regular expressions.
 
-A rule has a trigger and a span. The triggers of all rules are compiled together (see automata.py); when a byte
-leads to a state that accepts a rule, the rule's span is set at that place: where the match starts, looking
-back from the trigger's end over the bytes that the trigger can cover, and how far it reaches. Spans of a rule
-do not overlap: a trigger inside the rule's last match, kept or dropped, is skipped. Matches that are too short
-are dropped.
+One automaton of all rules reads every text once and tells which rules match anywhere; most texts end there. In the others the same rules
+read backward tell at which bytes a match starts, and the whole rule's own automaton, started there, tells where the longest one ends. Spans of a
+rule do not overlap: the leftmost start at or after the end of the rule's last match, kept or dropped, is next. Each step is a table lookup and each
+byte is read a bounded number of times, so a scan is linear in the text. Matches that are too short are dropped.
 
+Rules have a head and a tail, and the tail's length decides. To tell where matches start, a tail's last repetition need not be read to its end (see `cut`).
 The kinds `assign`, `access` and `hex` are the base; the other rules add spans of their own kinds.
 
 Cases: null texts are empty; a text without secrets has counts 0, an empty list of spans and the digest of the empty
@@ -15,108 +15,129 @@ columns stay out of the result.
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.automata import compile_rules
+from probity.llm.automata import compile_trees, cut, parse
 from probity.llm.common import table
 
 
 @dataclass(frozen=True)
 class Rule:
-    """trigger: what the automaton looks for. It ends inside the match, and of the places where it can end no two have the same
-    start and none has two starts, so the first one met belongs to the leftmost match.
-    span: pattern of the whole match, tried at its start; keep: least size of its group, or of the match if it has none."""
+    """A match is the head and the tail, as long as possible; keep: least size of the tail; fold: letters in either case."""
 
     kind: str
-    trigger: str
-    span: bytes
+    head: str
+    tail: str
     keep: int = 0
     fold: bool = False
 
 
-_VALUE = rb"[A-Za-z0-9+/_.=-]"
 RULES = (
-    Rule("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(" + _VALUE + rb"+)", 12, True),
-    Rule("access", r"AKIA[A-Z0-9]", rb"AKIA[A-Z0-9]+", 18),
-    Rule("hex", r"[0-9a-f]{16}", rb"[0-9a-f]+", 16),
-    Rule("private_key", r"-----BEGIN\x20", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("hosting", r"gh[pousr]_[A-Za-z0-9]", rb"gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]", rb"xox[abprs]-[A-Za-z0-9-]+", 15),
-    Rule("payment", r"[sr]k_live_[A-Za-z0-9]", rb"[sr]k_live_[A-Za-z0-9]+", 24),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 20),
-    Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]", rb"bearer\x20+([A-Za-z0-9._~+/=-]+)", 16, True),
+    Rule("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", r"[A-Za-z0-9+/_.=-]+", 12, True),
+    Rule("access", "", r"AKIA[A-Z0-9]+", 18),
+    Rule("hex", "", r"[0-9a-f]+", 16),
+    Rule("private_key", "", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("hosting", "", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("chat", "", r"xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("payment", "", r"[sr]k_live_[A-Za-z0-9]+", 24),
+    Rule("web_token", "", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 20),
+    Rule("bearer", r"bearer\x20+", r"[A-Za-z0-9._~+/=-]+", 16, True),
 )
 BASE = ("assign", "access", "hex")
 
 
-class Scanner:
-    """All rules as one automaton. Rows are lists of rows, so a step is one lookup; the last entry holds the accepted rules."""
+class Automaton:
+    """Transition arrays over byte classes. Rows are lists of rows, so a step is one lookup; the last entry holds the mask of accepted rules, and
+    a row from which nothing is accepted any more has -1 there."""
 
-    def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules = rules
-        self.transitions, self.masks = compile_rules([(r.trigger, r.fold) for r in rules])
+    def __init__(self, trees: list, **how):
+        transitions, self.masks = compile_trees(trees, **how)
+        columns = list(zip(*transitions, strict=True))
+        kinds = {c: i for i, c in enumerate(dict.fromkeys(columns))}
+        self.classes, self.size = bytes(kinds[c] for c in columns), len(kinds)
+        self.transitions = [list(r) for r in zip(*kinds, strict=True)]
         self._link()
 
-    def __reduce__(self):
-        return _rebuilt, (self.rules, self.transitions, self.masks)
-
     def _link(self) -> None:
-        self.rows = [[] for _ in self.masks]
-        for row, to, mask in zip(self.rows, self.transitions, self.masks, strict=True):
-            row.extend(self.rows[t] for t in to)
-            row.append([k for k in range(len(self.rules)) if mask >> k & 1])
-        flags = lambda r: re.IGNORECASE if r.fold else 0  # noqa: E731  bytes: only ASCII letters fold
-        self.spans = [re.compile(r.span, flags(r)) for r in self.rules]
-        self.triggers = [re.compile(r.trigger.encode("ascii"), flags(r)) for r in self.rules]
+        rows = [[] for _ in self.masks]
+        for n, (row, to) in enumerate(zip(rows, self.transitions, strict=True)):
+            row.extend(rows[t] for t in to)
+            row.append(-1 if not self.masks[n] and all(t == n for t in to) else self.masks[n])
+        self.start = rows[0]
+
+    def __getstate__(self):
+        return self.classes, self.size, self.transitions, self.masks
+
+    def __setstate__(self, state) -> None:
+        self.classes, self.size, self.transitions, self.masks = state
+        self._link()
+
+    def any(self, data: bytes) -> int:
+        """Mask of the rules that match anywhere."""
+        row, last, out = self.start, self.size, 0
+        for c in data.translate(self.classes):
+            row = row[c]
+            if row[last]:
+                out |= row[last]
+        return out
+
+    def starts(self, data: bytes, n_rules: int) -> list[list[int]]:
+        """For a backward automaton: the places where a match of each rule starts, in order."""
+        row, last, out = self.start, self.size, [[] for _ in range(n_rules)]
+        at = len(data)
+        for c in reversed(data.translate(self.classes)):
+            row, at = row[c], at - 1
+            if row[last]:
+                for k in range(n_rules):
+                    if row[last] >> k & 1:
+                        out[k].append(at)
+        for places in out:
+            places.reverse()
+        return out
+
+    def longest(self, data: bytes, at: int) -> int:
+        """The end of the longest match that starts at `at`, which is `at` if none does."""
+        row, last, classes, end = self.start, self.size, self.classes, at
+        for i in range(at, len(data)):
+            row = row[classes[data[i]]]
+            if row[last]:
+                if row[last] < 0:
+                    break
+                end = i + 1
+        return end
+
+
+class Scanner:
+    """The automata of a set of rules."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.rules = rules
+        whole = [parse(r.head + r.tail, r.fold) for r in rules]
+        short = [cut(tree, r.keep) for tree, r in zip(whole, rules, strict=True)]
+        self.present, self.back = Automaton(short), Automaton(short, backward=True)
+        self.whole = [Automaton([tree], free=False) for tree in whole]
+        self.heads = [Automaton([parse(r.head, r.fold)], free=False) if r.head else None for r in rules]
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of each kept match, by byte."""
-        found, done = [], [0] * len(self.rules)
-        row = self.rows[0]
-        for i, b in enumerate(data):
-            row = row[b]
-            if row[256]:
-                for k in row[256]:
-                    if i >= done[k]:
-                        self._resolve(data, i + 1, k, done, found)
-        return found
-
-    def _resolve(self, data: bytes, end: int, k: int, done: list[int], found: list) -> None:
-        """Adds the match whose trigger ends at `end`, if it starts after the rule's last match and is long enough."""
-        start = self._start(data, end, k, done[k])
-        if start is None:
-            return
-        m = self.spans[k].match(data, start)
-        if m is None:
-            return
-        done[k] = m.end()
-        if len(m[m.lastindex or 0]) >= self.rules[k].keep:
-            found.append((start, m.end(), k))
-
-    def _start(self, data: bytes, end: int, k: int, least: int) -> int | None:
-        reach = 64
-        while True:  # a trigger is longer only if it holds many spaces
-            low = max(least, end - reach)
-            for s in range(low, end):
-                if self.triggers[k].fullmatch(data, s, end):
-                    return s
-            if low == least:
-                return None
-            reach *= 8
-
-
-def _rebuilt(rules, transitions, masks) -> Scanner:
-    out = Scanner.__new__(Scanner)
-    out.rules, out.transitions, out.masks = rules, transitions, masks
-    out._link()
-    return out
+        there = self.present.any(data)
+        if not there:
+            return []
+        found = []
+        for k, places in enumerate(self.back.starts(data, len(self.rules))):
+            done = 0
+            for start in places:
+                if start >= done:
+                    done = self.whole[k].longest(data, start)
+                    tail = self.heads[k].longest(data, start) if self.heads[k] else start
+                    if done - tail >= self.rules[k].keep:
+                        found.append((start, done, k))
+        return sorted(found)
 
 
 def spans_of(scanner: Scanner, data: bytes) -> list[tuple[int, int, str]]:

@@ -71,3 +71,36 @@ def test_query_against_brute_force(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in want) for i in range(3)]
         joined = ",".join(f"{secrets.BASE[k]}:{s}:{e}" for s, k, e in want)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_no_regular_expressions_and_linear_time():
+    import time
+
+    assert not hasattr(secrets, "re")
+    scanner = secrets.Scanner()
+    assert len(scanner.present.masks) < 5000
+
+    def took(data: bytes) -> float:
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            secrets.spans_of(scanner, data)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for part in (b"eyJa", b"token:", b"token=a ", b"AKIA", b"deadbeef", b"-----BEGIN ", b"bearer  ", b"eyJa.eyJb"):
+        small, large = took(part * 2_000), took(part * 16_000)
+        assert large < 16 * small + 0.05, (part, small, large)
+
+
+def test_overlapping_starts_and_dropped_matches():
+    rng, scanner = random.Random(11), secrets.Scanner()
+    rules = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "web_token": re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), "bearer": re.compile(rb"bearer\x20+([A-Za-z0-9._~+/=-]+)", re.I), "private_key": re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")}
+    keep = {r.kind: r.keep for r in secrets.RULES}
+    parts = ["eyJ", "eyJa", ".", "token", "=", ":", "Bearer ", "bearer", " ", "AKIA", "ABCDEFGHIJ0123", "0123456789ab", "cdef", "-----", "BEGIN ", "PRIVATE KEY", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "é", "-_"]
+    for _ in range(3000):
+        data = "".join(rng.choices(parts, k=rng.randint(1, 25))).encode()
+        mine = [(s, e, scanner.rules[k].kind) for s, e, k in scanner.scan(data)]
+        for kind, rule in rules.items():
+            want = [(m.start(), m.end(), kind) for m in rule.finditer(data) if len(m[m.lastindex if kind in ("bearer", "assign") else 0]) >= keep[kind]]
+            assert [x for x in mine if x[2] == kind] == want, (kind, data)
