@@ -6,12 +6,18 @@ and position, are joined to it. A hit fixes a diagonal between document and item
 -2 for another) is found, and the item's tokens that such stretches cover, over all diagonals, are counted. A
 document holds an item if that covers at least half of the item's tokens and `LEAST` of them, or `ENOUGH`.
 
+Items shorter than the longest mask also get masks of their own length, each of which ignores one position, and are compared along whole diagonals: of an
+item of `TOLERANT` tokens or more one may be replaced, whatever its place, those of fewer tokens are looked for as they are. No item is
+too short to be looked for: an item of one token is found in each text that has the token; `left_out` names those without any token.
+
+Repeats stay cheap: a window that an item repeats stands in the table once, at its first place, and of the diagonals of an item whose stretches of the document are
+equal only the first is compared. So a phrase that a text repeats any number of times costs one comparison for each item that has it.
+
 The benchmark is read in blocks of at most `BLOCK_CHARS` characters, each of which meets all documents; what goes to
-the workers is bounded by that size. Documents are never shuffled.
+the workers is bounded by that size, and with several blocks each one's results are checkpointed and it is released before the next. Documents are never shuffled.
 
-Tokens are lower-cased words without anything but letters and digits; words without any are skipped. Items
-shorter than the masks are looked for as a whole, without replaced tokens; items of fewer than `SHORTEST` tokens are left out,
-and `left_out` names them; tokens end at blanks, so in a script without blanks a whole item may be one.
+Tokens are lower-cased words without anything but letters and digits; words without any are skipped; they end at blanks, so in a script without
+blanks a whole item may be one.
 
 Cases: null and empty texts hold nothing; texts are read whole; of repeated items each is reported; rows of one doc_id are judged
 each for itself; an empty benchmark finds nothing and keeps all; other columns pass through `clean` untouched.
@@ -28,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm.common import table
+from probity.llm.common import fresh, materialise, table
 
 MASKS = ("11101001011", "1101100011001", "110010111", "11111101")
-LEAST, ENOUGH, SHORTEST, SHARE = 8, 25, 5, 0.5
+LEAST, ENOUGH, TOLERANT, SHARE = 8, 25, 5, 0.5
+#: Diagonals of one item from which on equal stretches are looked for.
+MANY = 4
 BLOCK_CHARS = 4_000_000
 _SIGNS = re.compile(r"[\W_]+")
 _BITS = 20
@@ -57,6 +65,26 @@ def _factors(n: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"factor {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(n)], np.uint64)
 
 
+def _needed(m: int) -> int:
+    """Tokens of an item of m that a document must hold."""
+    return m if m < TOLERANT else min(ENOUGH, max(min(LEAST, m - 1), -(-m // 2)))
+
+
+class _Stretches:
+    """Digests of any stretch of a sequence of tokens: sums of tokens times powers of an odd number, shifted to place 0."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, tokens: np.ndarray):
+        powers = lambda base: np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(tokens), base, np.uint64), dtype=np.uint64)))
+        self.total = np.concatenate(([np.uint64(0)], np.cumsum(tokens * powers(self.BASE)[:-1], dtype=np.uint64)))
+        self.back = powers(self.INVERSE)
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (self.total[last] - self.total[first]) * self.back[first]
+
+
 class Matcher:
     """A block of benchmark items, ready to be looked for in documents. items: (item_id, text)."""
 
@@ -65,24 +93,30 @@ class Matcher:
         self.ids, self.tokens = [], []
         for item_id, text in items:
             t = hashes.of((text or "").encode("utf-8"))
-            if len(t) >= SHORTEST:
+            if len(t):
                 self.ids.append(item_id)
                 self.tokens.append(t)
-        span = max(map(len, masks))
-        masks = [*masks, *("1" * n for n in sorted({len(t) for t in self.tokens if len(t) < span}))]
+        self.span = max(map(len, masks))
+        # (mask, whether it is for items of its own length only)
+        wanted = [(m, False) for m in masks]
+        for n in sorted({len(t) for t in self.tokens if len(t) < self.span}):
+            wanted += [("1" * k + "0" + "1" * (n - 1 - k), True) for k in range(n)] if n >= TOLERANT else [("1" * n, True)]
         self.seeds = []
-        for k, mask in enumerate(masks):
-            offsets, factors = np.flatnonzero([c == "1" for c in mask]), _factors(span + len(masks))
+        for k, (mask, own) in enumerate(wanted):
+            offsets, factors = np.flatnonzero([c == "1" for c in mask]), _factors(self.span + 1)
             seed = (len(mask), offsets, factors[: len(offsets)] + np.uint64(2 * k))
-            short = k >= len(masks) - (len(masks) - len(MASKS)) and set(mask) == {"1"}
-            rows = [(h, i, np.arange(len(h))) for i, t in enumerate(self.tokens) if len(t) >= len(mask) and (not short or len(t) == len(mask)) for h in [self._hashes(t, seed)]]
+            rows = []
+            for i, t in enumerate(self.tokens):
+                if len(t) == len(mask) if own else len(t) >= len(mask):
+                    h, places = np.unique(self._hashes(t, seed), return_index=True)  # a repeated window's first place
+                    rows.append((h, np.full(len(h), i), places))
             if not rows:
                 continue
-            h, item, at = np.concatenate([r[0] for r in rows]), np.concatenate([np.full(len(r[0]), r[1]) for r in rows]), np.concatenate([r[2] for r in rows])
+            h, item, at = (np.concatenate([r[c] for r in rows]) for c in range(3))
             order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << _BITS, bool)
             seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.seeds.append((seed, h[order], item[order].astype(np.int32), at[order].astype(np.int32), seen))
+            self.seeds.append((seed, h[order], item[order].astype(np.int64), at[order].astype(np.int64), seen))
 
     @staticmethod
     def _hashes(tokens: np.ndarray, seed) -> np.ndarray:
@@ -93,10 +127,10 @@ class Matcher:
             out += tokens[o : o + n] * f
         return out ^ (out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
 
-    def find(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item, covered tokens, tokens of the item, first and last token of the document) of each item that the document holds."""
-        diagonals = set()
-        for seed, table_, items, places, seen in self.seeds:
+    def _diagonals(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of all hits, by item and then by diagonal."""
+        items, diagonals = [], []
+        for seed, table_, owner, places, seen in self.seeds:
             if len(tokens) < seed[0]:
                 continue
             h = self._hashes(tokens, seed)
@@ -104,25 +138,45 @@ class Matcher:
             if not len(at):
                 continue
             low, high = np.searchsorted(table_, h[at], "left"), np.searchsorted(table_, h[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                diagonals.update((int(i), p - int(q)) for i, q in zip(items[a:b], places[a:b], strict=True))
-        covered: dict[int, np.ndarray] = {}
-        reach: dict[int, tuple[int, int]] = {}
-        for i, d in diagonals:
-            item = self.tokens[i]
-            a, b = max(0, -d), min(len(item), len(tokens) - d)
-            same = item[a:b] == tokens[a + d : b + d]
-            first, last = _best_stretch(same)
-            if same[first:last].sum() < min(LEAST - 2, len(item)):
+            n = high - low
+            if not n.any():
                 continue
-            covered.setdefault(i, np.zeros(len(item), bool))[a + first : a + last] |= same[first:last]
-            low, high = reach.get(i, (len(tokens), 0))
-            reach[i] = min(low, a + first + d), max(high, a + last + d)
-        out = []
-        for i, c in sorted(covered.items()):
-            n, m = int(c.sum()), len(c)
-            if n >= min(m, ENOUGH) or n >= LEAST and n >= SHARE * m:
-                out.append((i, n, m, *reach[i]))
+            rows = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            items.append(owner[rows])
+            diagonals.append(np.repeat(at, n) - places[rows])
+        if not items:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        both = np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)]), axis=1)
+        return both[0], both[1]
+
+    def find(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item, covered tokens, tokens of the item, first and last token of the document's stretches, of equal ones the first) of each item that the document holds."""
+        owners, diagonals = self._diagonals(tokens)
+        out, stretches = [], None
+        edges = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1], [True]))) if len(owners) else [0]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            i, ds = int(owners[x]), diagonals[x:y]
+            item = self.tokens[i]
+            m = len(item)
+            if len(ds) >= MANY:
+                stretches = stretches or _Stretches(tokens)
+                a, b = np.maximum(0, -ds), np.minimum(m, len(tokens) - ds)
+                _, one = np.unique(np.stack([a.astype(np.uint64), b.astype(np.uint64), stretches.of(a + ds, b + ds)]), axis=1, return_index=True)
+                ds = ds[np.sort(one)]
+            covered, most, reach = np.zeros(m, bool), 0, None
+            for d in ds.tolist():
+                a, b = max(0, -d), min(m, len(tokens) - d)
+                same = item[a:b] == tokens[a + d : b + d]
+                first, last = _best_stretch(same)
+                if m < self.span and (n := int(same.sum())) >= _needed(m):
+                    most, first, last = max(most, n), 0, len(same)
+                elif same[first:last].sum() < min(LEAST - 2, m):
+                    continue
+                covered[a + first : a + last] |= same[first:last]
+                reach = (a + first + d, a + last + d) if reach is None else (min(reach[0], a + first + d), max(reach[1], a + last + d))
+            n = max(most, int(covered.sum()))
+            if reach is not None and n >= _needed(m):
+                out.append((i, n, m, *reach))
         return out
 
 
@@ -137,61 +191,90 @@ def _best_stretch(same: np.ndarray) -> tuple[int, int]:
 
 def blocks(benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> Iterator[Matcher]:
     """Matchers for the benchmark, each for at most about most_chars characters of it."""
-    rows = benchmark.select("item_id", "text").where("text is not null")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // most_chars)
+    rows, n = _items(benchmark, most_chars)
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         yield Matcher([tuple(r) for r in part.collect()])
 
 
+def _items(benchmark: DataFrame, most_chars: int) -> tuple[DataFrame, int]:
+    rows = benchmark.select("item_id", "text").where("text is not null")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return rows, -(-chars // most_chars)
+
+
 def left_out(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_tokens) of the items that are not looked for, because they have fewer than SHORTEST tokens."""
+    """(item_id, n_tokens) of the items that cannot be looked for, because they have no token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
         for batch in batches:
-            found = [(i, n) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if (n := len(hashes.of((t or "").encode("utf-8")))) < SHORTEST]
+            found = [(i, n) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if (n := len(hashes.of((t or "").encode("utf-8")))) == 0]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["item_id", "n_tokens"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, n_tokens long")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item that it holds: doc_id, item_id, matched and all tokens of the item, first and last token place in the document."""
-    schema = "doc_id long, item_id long, n_matched long, n_item long, first_token long, last_token long"
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _met(docs: DataFrame, matcher: Matcher) -> tuple[DataFrame, object]:
+    """(row_key, row_key2, doc_id, ...) for each document and item of one block that it holds, and the broadcast that the plan needs."""
+    schema = "doc_id long, key long, key2 long, item_id long, n_matched long, n_item long, first_token long, last_token long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("key2"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(matcher)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, hashes = shared.value, TokenHashes()
+        for batch in batches:
+            rows = []
+            for doc_id, key, key2, text in zip(*(batch.column(c) for c in range(3)), batch.column("text").cast(pa.binary()), strict=True):
+                if (raw := text.as_py()) and (found := m.find(hashes.of(raw))):
+                    rows += [(doc_id.as_py(), key.as_py(), key2.as_py(), m.ids[i], *rest) for i, *rest in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+    return source.mapInArrow(run, schema), shared
+
+
+def _all_met(docs: DataFrame, benchmark: DataFrame, most_chars: int) -> DataFrame | None:
+    """_met over all blocks: one is left to the plan, the results of several are checkpointed one after the other."""
+    _, n = _items(benchmark, most_chars)
     out = None
-    for matcher in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(matcher)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, hashes = shared.value, TokenHashes()
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), strict=True):
-                    if raw := text.as_py():
-                        rows += [(doc_id.as_py(), m.ids[i], *rest) for i, *rest in m.find(hashes.of(raw))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], ["doc_id", "item_id", "n_matched", "n_item", "first_token", "last_token"])
-
-        found = source.mapInArrow(run, schema)
+    for matcher in blocks(benchmark, most_chars):
+        found, shared = _met(docs, matcher)
+        if n > 1:
+            found = materialise(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return out
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document and item that it holds: doc_id, item_id, matched and all tokens of the item, first and last token place in the document."""
+    out = _all_met(docs, benchmark, most_chars)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_item long, first_token long, last_token long")
+    return out.drop("key", "key2")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    for matcher in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(matcher)
+    _, n = _items(benchmark, most_chars)
+    if n == 0:
+        return docs
+    if n > 1:  # the texts that hold an item of any block, by two digests of theirs
+        k1, k2 = fresh(docs, "text_key", "text_key2")
+        held = _all_met(docs, benchmark, most_chars).select(F.col("key").alias(k1), F.col("key2").alias(k2)).distinct()
+        keyed = docs.withColumn(k1, F.xxhash64("text")).withColumn(k2, F.xxhash64(F.lit(1), "text"))
+        return keyed.join(held, [k1, k2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (matcher,) = blocks(benchmark, most_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, hashes = shared.value, TokenHashes()
-            for batch in batches:
-                keep = [not (raw := text.as_py()) or not m.find(hashes.of(raw)) for text in batch.column("text").cast(pa.binary())]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, hashes = shared.value, TokenHashes()
+        for batch in batches:
+            keep = [not (raw := text.as_py()) or not m.find(hashes.of(raw)) for text in batch.column("text").cast(pa.binary())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
