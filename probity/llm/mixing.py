@@ -7,12 +7,12 @@ the target is filled by documents in the order of a seeded digest up to the docu
 
 Cases: null or blank texts have size 0 and are taken 0 times; a null source is a source of its own, last in
 order; an empty table gives an empty mix; a budget above all caps gives each source its cap; rows with the
-same doc_id and source share a digest and are taken alike; other columns of the input are ignored.
+same doc_id and source share a digest and are taken alike, rows without a doc_id have the digest of their text; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probity.llm.common import fresh, materialise, table, words
@@ -47,15 +47,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     return out.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken: how often the mix takes each document.
+def _digest(seed: str) -> Column:
+    """32 hex digits that order the rows of a source."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text"))), F.lit(""))))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, times, taken: how often the mix takes each document."""
+    return _mixed(docs, **how).drop("u")
+
+
+def _mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+    """What mix() returns, and u, the digest.
 
     Within a source the digest's first two hex digits make 256 slices and the next two 256 more, whose sums are
     found by partial aggregation; only documents of the one slice where the target ends are ordered singly.
     """
     sized = materialise(
-        docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")).withColumn(
-            "u", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), _digest(seed).alias("u"))
     )
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -89,18 +98,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     last = rows.where("last")
     last = last.withColumn("extra", F.col("b4") + before(last, [], "u") + F.col("size") / 2 <= F.col("rest"))
     times = F.col("whole") + F.col("extra").cast("long")
-    return sure.unionByName(last).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    return sure.unionByName(last).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"), "u")
 
 
-def repeat(docs: DataFrame, **how) -> DataFrame:
+def repeat(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as mix() takes it, numbered by `epoch`."""
-    (times,) = fresh(docs, "mix_times")
-    # rows of one doc_id and source are taken alike, so one row of each is enough to join on
-    taken = mix(docs, **how).where("times > 0").groupBy("doc_id", "source").agg(F.max("times").alias(times))
-    kept = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
-    (epoch,) = fresh(docs, "epoch")
-    kept = kept.select("d.*", F.col(f"t.{times}").cast("int").alias(times)).where(F.col(times) > 0)
-    return kept.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
+    times, mine, theirs, source, epoch = fresh(docs, "mix_times", "mix_digest", "mix_digest2", "mix_source", "epoch")
+    # rows of one digest and source are taken alike, so one row of each is enough to join on
+    taken = _mixed(docs, seed=seed, **how).where("times > 0").groupBy(F.col("u").alias(theirs), F.col("source").alias(source)).agg(F.max("times").cast("int").alias(times))
+    kept = docs.withColumn(mine, _digest(seed)).join(taken, (F.col(mine) == F.col(theirs)) & docs["source"].eqNullSafe(F.col(source)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(epoch))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +117,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(concat('mix:', doc_id::VARCHAR)) AS u
+         md5(concat('mix:', coalesce(doc_id::VARCHAR, concat('text:', md5(text))))) AS u
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight

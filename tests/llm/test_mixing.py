@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from probity.llm import mixing
 
 
@@ -49,3 +51,12 @@ def test_cases(spark):
     assert len(out) == 5 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.repeat(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("doc_id < 3")).count() == 2
+
+
+def test_rows_without_a_doc_id_are_taken_singly(spark):
+    docs = spark.createDataFrame([(None, f"word {i} " * (1 + i % 5), "a" if i % 3 else None) for i in range(600)], "doc_id long, text string, source string")
+    out = mixing.mix(docs).toPandas()
+    for _, part in out.groupby("source", dropna=False):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 10
+    again = mixing.repeat(docs.withColumns({c: F.lit(1) for c in ("u", "mix_digest", "mix_source", "times", "target")}))
+    assert again.count() == out["times"].sum() and again.columns[-1] == "epoch" and again.columns[:3] == docs.columns
