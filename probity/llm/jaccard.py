@@ -52,6 +52,8 @@ BROADCAST_ROWS = 500_000
 MAX_MATCH, VERIFY_COST = 6, 8.0
 #: Sets in a posting list of this length or more are crowded.
 HOT = 24
+#: Partners that one set is compared with in one task; sets with more are dealt out.
+PARTNERS = 64
 
 
 class WordHashes(dict):
@@ -228,7 +230,10 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: i
         return empty_like(docs.sparkSession, "a long, b long, linked boolean, both long, differs array<long>")
     texts = _own_texts(docs, asked, k).groupBy("id").agg(F.first("text").alias("text"))
     near = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    far = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    # a centre may have any number of partners: they meet its text in parts
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    far = texts.join(parts, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.col("text").alias("text_a"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, s = WordHashes(), None, None
@@ -249,7 +254,7 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: i
             found = [pa.array(linked, pa.bool_()), pa.array(both, pa.int64()), pa.array(differs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([close.column("a"), close.column("b"), *found], ["a", "b", "linked", "both", "differs"])
 
-    met = pairs.join(near, "b").join(far, "a").select("a", "b", "text_a", "text_b")
+    met = pairs.join(near, "b").join(far, ["a", "part"]).select("a", "b", "text_a", "text_b")
     return materialise(met.mapInArrow(compare, "a long, b long, linked boolean, both long, differs array<long>"))
 
 
