@@ -47,3 +47,19 @@ def test_cases(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from probity.llm import common
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=context)
+
+    assert common.shared_folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_folder(session("local[4]")) == common.shared_folder(session("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_folder(session(master))
