@@ -94,3 +94,12 @@ def last_digits(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         *by, "n", F.when(F.col("ok"), "ok").otherwise("insufficient").alias("status"), given(F.round("x2", 2)).alias("chi2"), given(F.round("p", 4)).alias("p_value"), given(F.col("p") > 0.01).alias("natural"),
         given(pick(lambda c: c > 2 * e)).alias("over"), given(pick(lambda c: (c < 0.3 * e) & (c < 5))).alias("under"), given(F.round(round_share, 4)).alias("round_share"),
     )
+
+
+# Kinds of data that Benford's law does not hold for: bounded, assigned, of a narrow range or set by people.
+UNSUITABLE = ("p_value", "percentage", "human_measure", "questionnaire", "identifier", "correlation", "price")
+
+
+def of_kind(audit: DataFrame, kind: Column) -> DataFrame:
+    """An audit that is not applicable to groups of unsuitable kinds, whatever their span."""
+    return audit.withColumn("applicable", F.col("applicable") & ~F.coalesce(kind.isin(*UNSUITABLE), F.lit(False)))

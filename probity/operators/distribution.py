@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.special import chi2_sf, norm_cdf, norm_two_tailed
-from probity.operators.digits import finite
+from probity.operators.digits import finite, last_digits
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -32,20 +32,40 @@ def w_surrogate(skewness: Column, kurtosis: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(0.05) * F.abs(kurtosis) + F.lit(0.10) * F.abs(skewness)))
 
 
-def anderson_darling(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """A-squared of each group against a normal with the sample's mean and deviation: one rank window and one aggregate.
+def anderson_darling(df: DataFrame, value: str, by: Sequence[str], buckets: int = 64) -> DataFrame:
+    """A-squared of each group against a normal with the sample's mean and deviation. Needs 5 values (else 0).
 
-    The i-th of n sorted values enters with weights 2i-1 for its lower and 2(n-i)+1 for its upper tail. Needs 5 values (else 0)."""
-    group = Window.partitionBy(*by)
-    ranked = _values(df, value, by).select(
-        *by, "x", F.row_number().over(group.orderBy("x")).alias("i"), F.count("*").over(group).alias("n"), F.avg("x").over(group).alias("m"), F.stddev_samp("x").over(group).alias("s")
-    )
+    The i-th of n sorted values enters with weights 2i-1 for its lower and 2(n-i)+1 for its upper tail. Equal values meet first: c of them after o
+    smaller ones weigh (o+c)^2 - o^2 and (n-o)^2 - (n-o-c)^2. Ranks are found within buckets between approximate quantiles, on top of the counts of
+    the buckets below, so a group is never sorted in one task."""
+    values = _values(df, value, by)
+    share = [i / buckets for i in range(1, buckets)]
+    stats = values.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.percentile_approx("x", share, 10_000).alias("edges"))
+    stats = stats.select(*[F.col(c).alias(f"_{c}") for c in by], "n", "m", "s", "edges")
+    same = lambda x, y: [x[c].eqNullSafe(y[f"_{c}"]) for c in by]
+    each = values.groupBy(*by, "x").agg(F.count("*").alias("c"))
+    placed = each.join(stats, same(each, stats)).select(*by, "x", "c", "n", "m", "s", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("bucket"))
+    below = placed.groupBy(*by, "bucket").agg(F.sum("c").alias("held"))
+    below = below.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bucket").alias("_bucket"), (F.sum("held").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("held")).alias("below"))
+    ranked = placed.join(below, [*same(placed, below), placed["bucket"] == below["_bucket"]])
+    before = F.col("below") + F.sum("c").over(Window.partitionBy(*by, "bucket").orderBy("x")) - F.col("c")
+    ranked = ranked.select(*by, "x", F.col("c").cast("double").alias("c"), F.col("n").cast("double").alias("n"), "m", "s", before.cast("double").alias("o"))
     z = F.when(F.col("s") > 0, (F.col("x") - F.col("m")) / F.col("s"))
     p = ranked.withColumn("z", z).withColumn("p", norm_cdf(F.col("z"))).withColumn("q", norm_cdf(-F.col("z")))
-    term = (2 * F.col("i") - 1) * F.log(F.greatest("p", F.lit(1e-10))) + (2 * (F.col("n") - F.col("i")) + 1) * F.log(F.greatest("q", F.lit(1e-10)))
+    n, o, c = F.col("n"), F.col("o"), F.col("c")
+    term = c * (2 * o + c) * F.log(F.greatest("p", F.lit(1e-10))) + c * (2 * (n - o) - c) * F.log(F.greatest("q", F.lit(1e-10)))
     total = p.groupBy(*by).agg(F.max("n").alias("n"), F.sum(term).alias("t"), F.max("s").alias("s"))
-    n = F.col("n").cast("double")
-    return total.select(*by, "n", F.when(F.col("n") < 5, 0.0).when(F.col("s") > 0, -n - F.col("t") / n).alias("a2"))
+    return total.select(*by, n.cast("long").alias("n"), F.when(n < 5, 0.0).when(F.col("s") > 0, -n - F.col("t") / n).alias("a2"))
+
+
+def normality_report(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """The normality figures of each group with A-squared and the last-digit test."""
+    base, other = normality(df, value, by), {"a2": anderson_darling(df, value, by).select(*by, F.round("a2", 3).alias("a2")), "last": last_digits(df, value, by).select(*by, F.col("chi2").alias("last_chi2"), F.col("p_value").alias("last_p"), "natural", "over", "under")}
+    for name, part in other.items():
+        part = part.withColumnsRenamed({c: f"_{name}_{c}" for c in by})
+        keys = [F.col(c).eqNullSafe(F.col(f"_{name}_{c}")) for c in by]
+        base = base.join(part, keys, "left").drop(*[f"_{name}_{c}" for c in by])
+    return base
 
 
 def normality(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

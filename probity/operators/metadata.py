@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIMES = ("DateTimeOriginal", "DateTimeDigitized", "DateTime")
-#: (part of the software's name, class), first match wins.
+# Fixed values: (part of the software's name, class), first match wins.
 SOFTWARE = (("photoshop", "HIGH"), ("gimp", "HIGH"), ("illustrator", "MODERATE"), ("matplotlib", "OK"), ("inkscape", "MODERATE"))
 
 
@@ -35,10 +35,11 @@ def inspect(df: DataFrame, key: Sequence[str], exif: str = "exif") -> DataFrame:
 def summary(df: DataFrame, by: Sequence[str], exif: str = "exif", error: str = "error") -> DataFrame:
     """Images with and without metadata and with errors (apart), distinct software, and whether dates differ within the batch."""
     m = F.col(exif)
-    date = F.substring_index(F.coalesce(*[F.try_element_at(m, F.lit(t)) for t in TIMES]), " ", 1)
+    # dates of all time stamps of an image; the least and the greatest tell whether they differ
+    dates = F.transform(F.map_values(timestamps(m)), lambda t: F.substring_index(t, " ", 1))
     failed = F.col(error).isNotNull()
     has = F.coalesce(F.size(m) > 0, F.lit(False))
     return df.groupBy(*by).agg(
         F.count("*").alias("n_images"), F.count_if(failed).alias("n_errors"), F.count_if(~failed & has).alias("n_with"), F.count_if(~failed & ~has).alias("n_without"),
-        F.array_join(F.array_sort(F.collect_set(F.try_element_at(m, F.lit("Software")))), ",").alias("software"), (F.count_distinct(date) > 1).alias("mixed_dates"),
+        F.array_join(F.array_sort(F.collect_set(F.try_element_at(m, F.lit("Software")))), ",").alias("software"), F.coalesce(F.min(F.array_min(dates)) != F.max(F.array_max(dates)), F.lit(False)).alias("mixed_dates"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.special import norm_cdf
+from probity.operators.overlap import paper_mill
 
 C = F.col
 
@@ -33,6 +34,12 @@ def identical_summaries(df: DataFrame, paper: str, mean: str, sd: str, digits: i
     return df.groupBy(paper, F.round(mean, digits).alias("mean"), F.round(sd, digits).alias("sd")).agg(F.count("*").alias("n_groups")).where("n_groups > 1")
 
 
+def absent_bars(df: DataFrame, by: Sequence[str], bar: str) -> DataFrame:
+    """Groups of several bars that are all missing, 0 or of one height."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.coalesce(C(bar), F.lit(0)) == 0).alias("n_absent"), F.count_distinct(bar).alias("n_heights"))
+    return out.withColumn("problem", F.when(C("n_absent") == C("n"), "absent").when((C("n_heights") == 1) & (C("n_absent") == 0), "one_height")).where("n > 1 and problem is not null").select(*by, "n", "problem")
+
+
 def excess_precision(df: DataFrame, raw: str, allowed: int) -> DataFrame:
     return df.withColumn("decimals", F.length(F.regexp_extract(C(raw), r"\.([0-9]+)$", 1)).cast("long")).where(C("decimals") > allowed)
 
@@ -67,6 +74,13 @@ def corresponding_mill(df: DataFrame, corresponding: str, first: str, least: int
     return df.groupBy(corresponding).agg(F.count_distinct(first).alias("n_first_authors"), F.count("*").alias("n_papers")).where(C("n_first_authors") >= least)
 
 
+def similar_mill(df: DataFrame, corresponding: str, first: str, paper: str, text: str, least: int = 10, similarity: float = 0.15) -> DataFrame:
+    """Corresponding authors with many first authors, and how many pairs of their papers are built alike."""
+    pairs = paper_mill(df, paper, text, corresponding, least=similarity).groupBy(C(corresponding).alias("_who")).agg(F.count("*").alias("n_similar"))
+    mills = corresponding_mill(df, corresponding, first, least)
+    return mills.join(pairs, C(corresponding) == C("_who")).drop("_who")
+
+
 # Phrases that language models leave behind.
 PHRASES = ("as an ai language model", "i don't have access to")
 
@@ -143,7 +157,8 @@ def correlation_matrix(df: DataFrame, paper: str, i: str, j: str, r: str) -> Dat
 
 
 def not_positive_definite(df: DataFrame, paper: str, i: str, j: str, r: str) -> DataFrame:
-    """Papers whose correlation matrix has a negative eigenvalue; one matrix per group, which the number of its variables bounds."""
+    """Papers whose correlation matrix has a negative eigenvalue; one matrix per group, which the number of its variables bounds. Cells that are not
+    given are 0, on the diagonal 1; where a cell and its mirror image differ, their mean counts."""
 
     def least(pdf):
         import numpy as np
@@ -151,9 +166,12 @@ def not_positive_definite(df: DataFrame, paper: str, i: str, j: str, r: str) ->
 
         names = sorted(set(pdf[i]) | set(pdf[j]))
         at = {n: k for k, n in enumerate(names)}
-        m = np.eye(len(names))
-        for a, b, v in zip(pdf[i], pdf[j], pdf[r], strict=True):
-            m[at[a], at[b]] = m[at[b], at[a]] = v
+        m = np.full((len(names), len(names)), np.nan)
+        for a, b, v in sorted(zip(pdf[i], pdf[j], pdf[r], strict=True)):
+            m[at[a], at[b]] = v
+        m = np.where(np.isnan(m), m.T, m)
+        m = np.where(np.isnan(m), np.eye(len(names)), m)
+        m = (m + m.T) / 2
         low = float(np.linalg.eigvalsh(m).min())
         return pd.DataFrame({paper: [pdf[paper].iloc[0]], "least_eigenvalue": [round(low, 6)]}) if low < -1e-8 else pd.DataFrame({paper: [], "least_eigenvalue": []})
 

@@ -21,7 +21,7 @@ def recheck(df: DataFrame) -> DataFrame:
     """Adds status, p_value (two-tailed or upper), p_one_tailed, matches, matches_one_tailed, discrepancy and verdict."""
     t = F.when(C("test") == "r", r_to_t(C("stat"), C("n"))).otherwise(C("stat"))
     dof = F.when(C("test") == "r", F.coalesce(C("n") - 2, C("df"))).otherwise(C("df")).cast("double")
-    p = F.when(C("test").isin("t", "t_paired", "r"), t_two_tailed(t, dof)).when(C("test") == "F", f_sf(C("stat"), C("df1"), C("df2"))).when(C("test") == "chi2", chi2_sf(C("stat"), C("df").cast("int")))
+    p = F.when(C("test").isin("t", "t_paired", "r"), t_two_tailed(t, dof)).when(C("test") == "F", f_sf(C("stat"), C("df1"), C("df2"))).when(C("test") == "chi2", chi2_sf(C("stat"), C("df").cast("double")))
     out = df.withColumn("_p", p)
     delta = C("reported_p") - C("_p")
     gap = F.abs(delta)
@@ -43,9 +43,13 @@ def df_consistency(df: DataFrame) -> DataFrame:
     return df.withColumn("implied_n", need.cast("long")).withColumn("consistent", C("n") == need)
 
 
-def implied_effect(test: Column, stat: Column, n: Column, df1: Column, df2: Column) -> Column:
-    """Cohen's d, paired d, r, eta squared or phi that the statistic implies; null where undefined."""
+def implied_effect(test: Column, stat: Column, n: Column, df1: Column, df2: Column, kind: Column | None = None) -> Column:
+    """Cohen's d, paired d, r, eta squared or phi that the statistic implies; null where undefined. kind: `r` where the statistic of a correlation
+    is the coefficient itself, else it is its t."""
     dof = n - 2
+    if kind is not None:
+        itself = (test == "r") & (kind == "r")
+        return F.when(itself, F.when((dof > 0) & (F.abs(stat) <= 1), F.abs(stat))).otherwise(implied_effect(test, stat, n, df1, df2))
     return (
         F.when((test == "t") & (n > 0), stat * F.sqrt(1 / n + 1 / n)).when((test == "t_paired") & (n > 1), stat / F.sqrt(n - 1)).when((test == "r") & (dof > 0), F.sqrt(stat * stat / (stat * stat + dof)))
         .when((test == "F") & (stat >= 0) & (df1 > 0) & (df2 > 0), stat * df1 / (stat * df1 + df2)).when((test == "chi2") & (n > 0) & (stat >= 0), F.sqrt(stat / n))
@@ -65,12 +69,15 @@ ALIASES = {"ttest": "t", "t-test": "t", "corr": "r", "correlation": "r", "f": "F
 
 
 def effect_sizes(df: DataFrame) -> DataFrame:
-    """Adds the implied effect, Cohen's f, the odds ratio, the size class, the gap to the reported effect and its class; unknown tests are `skipped`."""
+    """Adds the implied effect, Cohen's f, the odds ratio, the size class, the gap to the reported effect and its class; unknown tests are `skipped`.
+
+    A column `stat_kind` of `r` or `t` tells what the statistic of a correlation is; without it, it is t."""
+    kind = C("stat_kind") if "stat_kind" in df.columns else None
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     test = F.try_element_at(alias, F.lower("test"))
     d1 = F.when(test == "F", F.coalesce(C("df1"), F.lit(1))).otherwise(C("df1"))
     out = df.withColumn("_t", test).withColumn("_d1", d1).withColumn("_d2", F.coalesce(C("df2"), C("n") - C("_d1") - 1))
-    out = out.withColumn("_e", implied_effect(C("_t"), C("stat").cast("double"), C("n").cast("double"), C("_d1").cast("double"), C("_d2").cast("double")))
+    out = out.withColumn("_e", implied_effect(C("_t"), C("stat").cast("double"), C("n").cast("double"), C("_d1").cast("double"), C("_d2").cast("double"), kind))
     a = F.abs(C("_e"))
     of_d = F.when(a > 2.5, "EXTREME").when((a > 1.5) & (C("n") < 30), "SUSPICIOUS").when(a > 1, "LARGE").when(a > 0.5, "MEDIUM").when(a > 0.2, "SMALL").otherwise("VERY_SMALL")
     of_r = F.when((a > 0.95) & (C("n") < 30), "SUSPICIOUS").when(a > 0.7, "LARGE").when(a > 0.3, "MEDIUM").when(a > 0.1, "SMALL").otherwise("VERY_SMALL")

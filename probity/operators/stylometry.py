@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.special import let
-from probity.functions.text import ngrams, paragraphs, population_cv, run_lengths, sentences, style_tokens
+from probity.functions.text import TOKEN, paragraphs, population_cv, run_lengths, sentences, style_tokens
 
 MIN_CHARS = 100
 # The hundred common English words whose share is measured.
@@ -25,10 +25,13 @@ FUNCTION_WORDS = (
 def features(df: DataFrame, text: str, key: Sequence[str]) -> DataFrame:
     """Sentence, vocabulary, bigram and paragraph features of each text, rounded."""
     base = df.select(*key, F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_chars"), style_tokens(F.col(text)).alias("w"), sentences(F.col(text)).alias("s"), paragraphs(F.col(text)).alias("p"))
-    lengths = lambda a: F.filter(F.transform(a, lambda x: F.size(style_tokens(x)).cast("double")), lambda n: n > 0)
-    counted = base.select(
+    lengths = lambda a: F.filter(F.transform(a, lambda x: F.regexp_count(F.lower(x), F.lit(TOKEN)).cast("double")), lambda n: n > 0)
+    # words and pairs are counted by 64-bit digests: numbers sort faster than words
+    digests = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    pairs = F.zip_with(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", F.lit(2), F.size("h")), lambda a, b: F.xxhash64(a, b))
+    counted = digests.select(
         *key, "n_chars", F.size("w").cast("long").alias("n_words"), population_cv(lengths(F.col("s"))).alias("sent"), F.size("p").cast("long").alias("n_paragraphs"), population_cv(lengths(F.col("p"))).alias("para"),
-        run_lengths(F.col("w")).alias("words"), run_lengths(ngrams(F.col("w"), 2)).alias("pairs"), F.size(F.filter("w", lambda x: x.isin(*FUNCTION_WORDS))).cast("long").alias("n_function"),
+        run_lengths(F.col("h")).alias("words"), run_lengths(pairs).alias("pairs"), F.size(F.filter("w", lambda x: x.isin(*FUNCTION_WORDS))).cast("long").alias("n_function"),
     )
     n = F.col("n_words").cast("double")
     distinct = F.size("words").cast("double")
@@ -43,7 +46,7 @@ def features(df: DataFrame, text: str, key: Sequence[str]) -> DataFrame:
     )
 
 
-#: (feature, gate, points if the gate holds, ((bound, points) ...)); True: below the bound scores.
+# Fixed values: (feature, gate, points if the gate holds, whether less scores, ((bound, points) ...)).
 SCORE = (
     ("sentence_cv", "sentence_cv > 0", 20, True, ((0.25, 20), (0.35, 10), (0.45, 3))),
     ("type_token_ratio", "n_words > 200", 10, True, ((0.20, 10), (0.30, 5))),

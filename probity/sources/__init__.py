@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,24 @@ IMAGES = "*.{png,jpg,jpeg,tif,tiff,bmp,gif,webp}"
 REPORTED = "test STRING, n BIGINT, stat DOUBLE, reported_es DOUBLE, df1 DOUBLE, df2 DOUBLE"
 
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir. Without one, a temporary folder that goes with this
+    process, if driver and executors are one process; on a cluster that is an error, for executors do not see each other's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="checkpoints"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
 def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Numbers of one column of CSV files with a header; cells that are no numbers are dropped."""
     x = F.col(f"`{column}`").try_cast("double")
@@ -47,9 +70,35 @@ def files(spark: SparkSession, path: str, pattern: str = IMAGES, recursive: bool
     return df.select("path", "length", "content", F.substring(F.md5("content"), 1, 16).alias("file_hash"))
 
 
+def byte_bits(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, bit) of files: eight bits of each byte, the highest first."""
+    byte = F.conv(F.substr("hex", F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    read = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("hex"), F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)).alias("at"))
+    bits = F.posexplode(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftright", F.col("byte"), k).bitwiseAND(F.lit(1))))
+    return read.select("path", "at", byte.alias("byte")).select("path", "at", bits.alias("k", "bit")).select("path", (F.col("at").cast("long") * 8 + F.col("k")).alias("pos"), "bit")
+
+
 def retraction_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Lower-cased DOIs from a JSON document with a `dois` list."""
-    return spark.read.schema("dois ARRAY<STRING>, updated_at STRING").json(path, multiLine=True).select(F.explode("dois").alias("doi")).select(F.lower("doi").alias("doi")).distinct()
+    """Lower-cased DOIs from a JSON document with a `dois` list; none if it is missing or no such document."""
+    try:
+        raw = spark.read.schema("dois ARRAY<STRING>, updated_at STRING").json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "doi string")
+    return raw.select(F.explode("dois").alias("doi")).select(F.lower("doi").alias("doi")).distinct()
+
+
+def write_cache(df: DataFrame, path: str, metadata: str = "") -> None:
+    """The distinct lower-cased DOIs as one JSON document: sorted list, count, metadata and time. A retraction list is small; it is one row here."""
+    one = df.agg(F.sort_array(F.collect_set(F.lower("doi"))).alias("dois"))
+    one.select("dois", F.size("dois").alias("count"), F.lit(metadata).alias("metadata"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def saved_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(start, items) of the saved pages of a listing, one JSON document each; items are null where a document cannot be read."""
+    schema = "message STRUCT<items: ARRAY<STRUCT<DOI: STRING>>, query: STRUCT<`start-index`: BIGINT>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.col("message.query.start-index").alias("start"), F.col("message.items").alias("items"))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
