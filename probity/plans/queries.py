@@ -177,8 +177,8 @@ def dedup_minhash(spark, sf_dir):
 
 
 def repeated(spark, sf_dir) -> DataFrame:
-    """Documents, every tenth of which stands twice in its text."""
-    return table(spark, sf_dir, "documents").withColumn("text", F.when(C("doc_id") % 10 == 3, F.concat_ws(" ", "text", "text")).otherwise(C("text")))
+    """Documents, every hundredth of which stands twice in its text."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.when(C("doc_id") % 100 == 3, F.concat_ws(" ", "text", "text")).otherwise(C("text")))
 
 
 def self_duplicates(spark, sf_dir):

@@ -253,7 +253,7 @@ SQL = {
     "dedup_minhash": f"""WITH s AS ({_sets("documents", "doc_id")}), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, max(a.n) AS n_a FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2),
       d AS (SELECT a AS doc_id FROM p UNION SELECT b FROM p), m AS (SELECT doc_id, i.range AS i, min(md5(i.range::VARCHAR || x)) AS h FROM s JOIN d USING (doc_id), range(128) i GROUP BY 1, 2), j AS (SELECT p.a, p.b, p.shared, p.n_a, count(*) FILTER (x.h = y.h) / 128 AS j FROM p JOIN m x ON x.doc_id = p.a JOIN m y ON y.doc_id = p.b AND y.i = x.i GROUP BY ALL)
       SELECT a, b, shared, round(j, 3) AS jaccard_estimate, round(shared / n_a, 4) AS overlap_ratio, {_LEVEL} AS level FROM j WHERE j > 0.05""",
-    "self_duplicates": f"""WITH t AS (SELECT doc_id, {_DEDUP.format(t="CASE WHEN doc_id % 10 = 3 THEN text || ' ' || text ELSE text END")} AS ws FROM documents), p AS (SELECT doc_id, a, list_slice(ws, a + 1, a + 200) AS w FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 199, 50)) AS a FROM t WHERE len(ws) >= 700)),
+    "self_duplicates": f"""WITH t AS (SELECT doc_id, {_DEDUP.format(t="CASE WHEN doc_id % 100 = 3 THEN text || ' ' || text ELSE text END")} AS ws FROM documents), p AS (SELECT doc_id, a, list_slice(ws, a + 1, a + 200) AS w FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 199, 50)) AS a FROM t WHERE len(ws) >= 700)),
       s AS (SELECT doc_id, a, w, {_SHINGLES} AS s FROM p), x AS (SELECT doc_id, a, unnest(s) AS x FROM s), c AS (SELECT DISTINCT doc_id, u.a AS f, v.a AS g FROM x u JOIN x v USING (doc_id, x) WHERE v.a - u.a >= 500),
       h AS (SELECT doc_id, f AS a FROM c UNION SELECT doc_id, g FROM c), m AS (SELECT doc_id, a, i.range AS i, min(md5(i.range::VARCHAR || x)) AS h FROM x JOIN h USING (doc_id, a), range(64) i GROUP BY ALL),
       j AS (SELECT c.doc_id, f, g, count(*) FILTER (u.h = v.h) / 64 AS j FROM c JOIN m u ON u.doc_id = c.doc_id AND u.a = f JOIN m v ON v.doc_id = c.doc_id AND v.a = g AND v.i = u.i GROUP BY ALL),

@@ -32,6 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder, for what is read several times. Spark removes it with its last reference if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Numbers of one column of CSV files with a header; cells that are no numbers are dropped."""
     x = F.col(f"`{column}`").try_cast("double")
