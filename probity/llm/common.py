@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probity.sources import materialise, shared_folder
+
+__all__ = ["LOWER", "SPACES", "SPACE_RE", "UPPER", "WORD_RE", "empty_like", "fresh", "let", "lower_ascii", "materialise", "shared_folder", "table", "words"]
+
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -36,33 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir. Without one, a temporary folder that goes with this
-    process, if driver and executors are one process; on a cluster that is an error, for executors do not see each other's folders."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="checkpoints"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-_own: list[str] = []
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder. Spark removes it with its last reference if
-    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
