@@ -21,18 +21,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm.common import fresh, materialise, table
 
 #: Words of a unit. Shorter lines are mostly common phrases of texts that are not copies: with 8, one text in four that shares no passage loses a line.
 MIN_WORDS = 16
+_ONE, _TWO = struct.Struct("<q"), struct.Struct("<qq")
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?!\s|$)[^.!?]*)*(?:[.!?]+|$)")
 
 
@@ -48,11 +50,11 @@ def _blocks(pieces: list[tuple[list[str], int, int, int]], min_words: int) -> It
                 yield first, i + 1
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of each unit of a text."""
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """(digest as two numbers, start, end) of each unit of a text."""
 
-    def digest(words: list[str]) -> bytes:
-        return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    def digest(words: list[str]) -> tuple[int, int]:
+        return _TWO.unpack(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
 
     lines, sentences, at = [], [], 0  # (words, start, end, number of the line)
     for n, line in enumerate(text.split("\n")):
@@ -78,41 +80,50 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, i
                 yield digest(words), *span
 
 
-_OCCURRENCE = "digest binary, doc_id long, row binary, start long, end long"
+_OCCURRENCE = "d1 long, d2 long, doc_id long, row long, span long"
+
+
+def _row_digest(text: str | bytes) -> int:
+    return _ONE.unpack(hashlib.blake2b(text.encode("utf-8") if isinstance(text, str) else text, digest_size=8).digest())[0]
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each unit: its digest, the document, the digest of the whole text, start and end."""
+    """A row for each unit: its digest, the document, the digest of the whole text, start and end, each in 32 bits of `span`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", "doc_id", "row", "start", "end"]
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["d1", "d2", "doc_id", "row", "span"]
+        batch_of = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
         for batch in batches:
-            cols, n = [[], [], [], [], []], 0
+            cols = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text, doc_id = text.as_py(), doc_id.as_py()
                 if not text:
                     continue
-                row = hashlib.blake2b(text.encode("utf-8"), digest_size=8).digest()
-                for d, start, end in units(text, min_words):
-                    for c, v in zip(cols, (d, doc_id, row, start, end), strict=True):
+                row = _row_digest(text)
+                for (d1, d2), start, end in units(text, min_words):
+                    for c, v in zip(cols, (d1, d2, doc_id, row, start << 32 | end), strict=True):
                         c.append(v)
                 if len(cols[0]) > 50_000:  # long batches leave in parts
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                    yield batch_of(cols)
                     cols = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            yield batch_of(cols)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _OCCURRENCE)
 
 
+def _start(span: Column) -> Column:
+    return F.shiftright(span, 32)
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each occurrence of a unit that occurs again: doc_id, row, start, end, whether it is kept, and where the kept one is (keep_doc_id, keep_start)."""
     found = materialise(occurrences(docs, min_words))
-    rank = F.struct("doc_id", "row", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("digest").alias("f_digest"), "first")
-    return found.join(first, found["digest"] == first["f_digest"]).select(
-        "doc_id", "row", "start", "end", rank.eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")
+    rank = F.struct("doc_id", "row", "span")
+    place = F.xxhash64("doc_id", "row", "span")  # tells repeated rows, which rank alike, from other places
+    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
+    return found.join(first.select("d1", "d2", "first"), ["d1", "d2"]).select(
+        "doc_id", "row", _start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end"), rank.eqNullSafe(F.col("first")).alias("kept"),
+        F.col("first.doc_id").alias("keep_doc_id"), _start(F.col("first.span")).alias("keep_start"),
     )
 
 
@@ -158,7 +169,7 @@ def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), spans], ["doc_id", "row", "spans"])
             yield out.filter(pa.array([bool(xs) for xs in left], pa.bool_()))
 
-    return per.mapInArrow(run, "doc_id long, row binary, spans array<struct<start:long,end:long>>")
+    return per.mapInArrow(run, "doc_id long, row long, spans array<struct<start:long,end:long>>")
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -167,10 +178,10 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [hashlib.blake2b(t.as_py(), digest_size=8).digest() if t.is_valid else None for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, row])
+            digests = [_row_digest(t.as_py()) if t.is_valid else None for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.int64())], [*batch.schema.names, row])
 
-    keyed = docs.mapInArrow(with_row, f"{docs._jdf.schema().toDDL()}, `{row}` binary")
+    keyed = docs.mapInArrow(with_row, f"{docs._jdf.schema().toDDL()}, `{row}` long")
     spans = removed_spans(docs, min_words).select(F.col("doc_id").alias(at), F.col("row").alias(cut), F.col("spans").alias(removed))
     both = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(F.col(at)) & (F.col(row) == F.col(cut)), "left")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.col(removed), lambda x: x["end"]))

@@ -37,7 +37,7 @@ def brute(rows: list[tuple], least: int = sub.MIN_WORDS) -> dict:
     places = {}
     for doc_id, text in rows:
         for key, start, end in set(brute_units(text or "", least)):
-            places.setdefault(key, []).append(((doc_id, sub.hashlib.blake2b((text or "").encode(), digest_size=8).digest(), start), end))
+            places.setdefault(key, []).append(((doc_id, sub._row_digest(text or ""), start), end))
     gone, kept = {}, {}
     for found in places.values():
         if len(found) > 1:
