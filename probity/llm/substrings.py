@@ -9,8 +9,8 @@ of a passage that are too common to be judged alone; sentences catch passages th
 Removed spans keep their offsets, in code points of the original text. Units overlap, so what belongs to a kept occurrence of a repeated unit is never
 removed: each repeated unit stays whole in one place.
 
-Units are cut once and checkpointed. Firsts are found by partial aggregation, so a unit that a third of all documents hold is one row per task; only
-units that occur again are joined back to their occurrences, and that join can be split where a digest is hot.
+Units are cut once and checkpointed. They are counted by partial aggregation, so a unit that a third of all documents hold is one row per task; only
+occurrences of units that occur again go on, and joins to them can be split where a digest is hot.
 
 Cases: null and blank texts have no units; rows of one doc_id and text rank alike and are treated alike, so repeated rows keep the same
 spans; rows of one doc_id with other texts are told apart by the text's digest; a null doc_id ranks first; one
@@ -118,10 +118,12 @@ def _start(span: Column) -> Column:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each occurrence of a unit that occurs again: doc_id, row, start, end, whether it is kept, and where the kept one is (keep_doc_id, keep_start)."""
     found = materialise(occurrences(docs, min_words))
-    rank = F.struct("doc_id", "row", "span")
-    place = F.xxhash64("doc_id", "row", "span")  # tells repeated rows, which rank alike, from other places
-    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-    return found.join(first.select("d1", "d2", "first"), ["d1", "d2"]).select(
+    # half of the digest tells the few units that may occur again; only they are compared in full
+    seen = found.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
+    again = materialise(found.join(seen, "d1", "left_semi"))
+    rank = F.struct("doc_id", "row", "span")  # repeated rows rank alike
+    first = again.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    return again.join(first.select("d1", "d2", "first"), ["d1", "d2"]).select(
         "doc_id", "row", _start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end"), rank.eqNullSafe(F.col("first")).alias("kept"),
         F.col("first.doc_id").alias("keep_doc_id"), _start(F.col("first.span")).alias("keep_start"),
     )
