@@ -181,14 +181,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, **how) -> RuleEnsemble:
-    """Fits on labelled rows that are not held out: at most max_rows labels, and at most 2 * max_rows rows of docs, whatever their length."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(label, statistics) of labelled rows that are not held out: at most max_rows labels, and at most 2 * max_rows rows of docs, whatever their length."""
     asked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
     asked = asked.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label").limit(max_rows)
     # at most max_rows pairs of numbers, so broadcasting them is safe at any size
     rows = docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id").select("label", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")).alias("mark"), features(F.col("text")).alias("f")).select("label", "mark", "f.*")
-    # a doc_id may occur more than once in docs: the bound holds for the rows that are sent, too; a digest says which, so that no length is preferred
-    rows = rows.orderBy("mark", "label").limit(2 * max_rows).select("label", *FEATURES).coalesce(1)
+    # a doc_id may occur more than once in docs: the bound holds for the rows that are fitted, too; a digest says which, so that no length is preferred
+    return rows.orderBy("mark", "label").limit(2 * max_rows).select("label", *FEATURES)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, **how) -> RuleEnsemble:
+    """Fits on the bounded sample, in one task."""
+    rows = sample(docs, labels, label, max_rows).coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", *FEATURES)]) for b in batches]

@@ -45,8 +45,8 @@ def test_bound_prefers_no_length(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
     kept = []
     monkeypatch.setattr(quality, "held_out", lambda doc_id: F.lit(False))
-    monkeypatch.setattr(quality, "fit", lambda x, y: kept.append(x))
-    quality.train(docs, labels, max_rows=20)
+    kept.append(quality.sample(docs, labels, max_rows=20).toPandas()[list(quality.FEATURES)].to_numpy(float))
+    assert quality.train(docs, labels, max_rows=20).rules
     every = docs.select(quality.features(F.col("text")).alias("f")).select("f.*").toPandas()[list(quality.FEATURES)].to_numpy(float)
     words = next(k for k in range(every.shape[1]) if len(set(every[:, k])) == 200)
     assert len(kept[0]) == 40 and sorted(kept[0][:, words])[20] > sorted(every[:, words])[50]
