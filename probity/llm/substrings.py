@@ -10,7 +10,8 @@ Removed spans keep their offsets, in code points of the original text. Units ove
 removed: each repeated unit stays whole in one place.
 
 Units are cut once and checkpointed. They are counted by partial aggregation, so a unit that a third of all documents hold is one row per task; only
-occurrences of units that occur again go on, and joins to them can be split where a digest is hot.
+occurrences of units that occur again go on. Units with more than a 10,000th of all occurrences, which can be 10,000 at most, are broadcast to
+theirs, so that no occurrence of a hot unit is shuffled by its digest.
 
 Cases: null and blank texts have no units; rows of one doc_id and text rank alike and are treated alike, so repeated rows keep the same
 spans; rows of one doc_id with other texts are told apart by the text's digest; a null doc_id ranks first; one
@@ -34,6 +35,8 @@ from probity.llm.common import fresh, materialise, table
 
 #: Words of a unit. Shorter lines are mostly common phrases of texts that are not copies: with 8, one text in four that shares no passage loses a line.
 MIN_WORDS = 16
+#: Units that occur in more than one of this many occurrences are hot: so many at most, whatever the input, and no task gets all rows of one.
+HOT_UNITS = 10_000
 _ONE, _TWO = struct.Struct("<q"), struct.Struct("<qq")
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?!\s|$)[^.!?]*)*(?:[.!?]+|$)")
 
@@ -118,17 +121,26 @@ def _start(span: Column) -> Column:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each occurrence of a unit that occurs again: doc_id, row, start, end, whether it is kept, and where the kept one is (keep_doc_id, keep_start)."""
     found = materialise(occurrences(docs, min_words))
+    hot = max(1, found.count() // HOT_UNITS)
     # half of the digest tells the few units that may occur again; only they are compared in full
-    seen = found.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    again = materialise(found.join(seen, "d1", "left_semi"))
+    seen = found.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialise(_met(found, seen, ["d1"], hot, "left_semi"))
     rank = F.struct("doc_id", "row", "span")  # repeated rows rank alike
-    first = again.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    return again.join(first.select("d1", "d2", "first"), ["d1", "d2"]).select(
+    first = again.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n"))
+    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    return _met(again, first, ["d1", "d2"], hot, "inner").select(
         "doc_id", "row", _start(F.col("span")).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end"), rank.eqNullSafe(F.col("first")).alias("kept"),
         F.col("first.doc_id").alias("keep_doc_id"), _start(F.col("first.span")).alias("keep_start"),
     )
 
 
+def _met(rows: DataFrame, counted: DataFrame, keys: list[str], hot: int, how: str) -> DataFrame:
+    """rows joined with their keys' counts: keys of more than `hot` rows, of which there are HOT_UNITS at most, by broadcast, the others by a shuffle."""
+    many = F.broadcast(counted.where(F.col("n") > hot))
+    few = rows.join(many.select(keys), keys, "left_anti").join(counted.where(F.col("n") <= hot), keys, how)
+    return rows.join(many, keys, how).unionByName(few)
+
+
 def _outside(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans, merged, without what lies in the kept ones; both sorted."""
     out, k = [], 0

@@ -86,6 +86,17 @@ def test_cases(spark):
     assert sub.remove(docs.limit(0)).count() == 0 and sub.remove(docs).columns == out.columns
 
 
+def test_hot_units_are_found_alike(spark, monkeypatch):
+    line = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(d, f"{line}\nx{d % 7} {line}" if d % 3 else f"{d} {line} {d}") for d in range(90)], "doc_id long, text string")
+    rows = lambda: sorted((r["doc_id"], [tuple(x) for x in r["spans"]]) for r in sub.removed_spans(docs).collect())
+    found = []
+    for most in (1, 7, 10_000):  # no unit is hot, some are, all are
+        monkeypatch.setattr(sub, "HOT_UNITS", most)
+        found.append(rows())
+    assert found[0] == found[1] == found[2] and len(found[0]) == 59
+
+
 def test_passages_of_short_lines_and_sentences(spark):
     rng = random.Random(5)
     words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
