@@ -52,8 +52,9 @@ BROADCAST_ROWS = 500_000
 MAX_MATCH, VERIFY_COST = 6, 8.0
 #: Sets in a posting list of this length or more are crowded.
 HOT = 24
-#: Partners that one set is compared with in one task; sets with more are dealt out.
-PARTNERS = 64
+#: Partners that one set is compared with in one task; sets with more are dealt out. If there are very many pairs, one in HOT_SETS of them instead,
+#: so that HOT_SETS sets at most are dealt out, which is what the broadcast lists of them are bounded by.
+PARTNERS, HOT_SETS = 64, 10_000
 
 
 class WordHashes(dict):
@@ -225,15 +226,24 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: i
     """(a, b, linked, both, differs) of the pairs of set ids whose similarity is least / den or more, found from the whole texts of their representatives:
     whether they reach the threshold, the size of the intersection, and the tokens that only one of them has."""
     pairs = materialise(pairs)
-    asked = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "doc_id", "digest"), "id"))
+    ends = [pairs.select(F.col(c).alias("id"), F.lit(c == "a").alias("as_a"), F.lit(c == "b").alias("as_b")) for c in ("a", "b")]
+    asked = ends[0].unionByName(ends[1]).groupBy("id").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b"))
+    asked = materialise(asked.join(sets.select("id", "doc_id", "digest"), "id"))
     if asked.isEmpty():
         return empty_like(docs.sparkSession, "a long, b long, linked boolean, both long, differs array<long>")
     texts = _own_texts(docs, asked, k).groupBy("id").agg(F.first("text").alias("text"))
-    near = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    # a centre may have any number of partners: they meet its text in parts
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
-    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    far = texts.join(parts, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.col("text").alias("text_a"))
+    # a set may have any number of partners on either side: they meet its text in parts
+    limit = max(PARTNERS, pairs.count() // HOT_SETS)
+    dealt = {c: pairs.groupBy(c).agg(F.ceil(F.count("*") / limit).cast("int").alias(f"parts_{c}")).where(f"parts_{c} > 1") for c in ("a", "b")}
+    part = lambda c, other: F.pmod(F.xxhash64(other), F.coalesce(f"parts_{c}", F.lit(1))).cast("int").alias(f"part_{c}")
+    for c, few in dealt.items():
+        pairs = pairs.join(F.broadcast(few), c, "left")
+    pairs = pairs.select("a", "b", part("a", "b"), part("b", "a"))
+
+    def side(c: str) -> DataFrame:
+        held = texts.join(asked.where(f"as_{c}").select("id"), "id", "left_semi").select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+        every = F.sequence(F.lit(0), F.coalesce(f"parts_{c}", F.lit(1)) - 1)
+        return held.join(F.broadcast(dealt[c]), c, "left").select(c, f"text_{c}", F.explode(every).alias(f"part_{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, s = WordHashes(), None, None
@@ -254,7 +264,7 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, num: i
             found = [pa.array(linked, pa.bool_()), pa.array(both, pa.int64()), pa.array(differs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([close.column("a"), close.column("b"), *found], ["a", "b", "linked", "both", "differs"])
 
-    met = pairs.join(near, "b").join(far, ["a", "part"]).select("a", "b", "text_a", "text_b")
+    met = pairs.join(side("b"), ["b", "part_b"]).join(side("a"), ["a", "part_a"]).select("a", "b", "text_a", "text_b")
     return materialise(met.mapInArrow(compare, "a long, b long, linked boolean, both long, differs array<long>"))
 
 
