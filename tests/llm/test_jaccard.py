@@ -69,6 +69,22 @@ def test_query_against_brute_force(spark):
     assert mine == brute(rows, 3, 90, 100)
 
 
+def test_partners_are_dealt_alike(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for d in range(60):
+        ws = base.copy()
+        for _ in range(rng.randint(0, 3)):
+            ws[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((d, " ".join(ws)))
+    want = brute(rows, 2, 80, 100)
+    assert len({c for _, _, c in want}) < 50
+    for most in (1, 10_000):  # few sets are dealt out, all with two partners or more are
+        monkeypatch.setattr(jaccard, "HOT_SETS", most)
+        assert got(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 100) == want
+
+
 def test_frequent_tokens_only_change_the_order(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 6)
     rng = random.Random(9)
