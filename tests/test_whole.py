@@ -182,3 +182,26 @@ def test_saved_pages_of_a_listing(spark, tmp_path):
     assert read() == ["10.1/a", "10.1/b"]
     (tmp_path / "bad.json").write_text("not json")
     assert sources.retraction_cache(spark, str(tmp_path / "bad.json")).count() == 0 and sources.retraction_cache(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_image_pairs_make_no_rows_for_candidates(spark):
+    """Twenty thousand hashes in several blocks: the pairs that numpy finds, though two hundred million are compared."""
+    import time
+
+    import numpy as np
+
+    h = np.random.default_rng(6).integers(-(2**63), 2**63, 20_000)
+    h[5000:5020] = h[:20] ^ 7
+    h[9000:9010] = h[:10]
+    want = set()
+    for i in range(len(h)):
+        d = np.bitwise_count((h[i + 1 :] ^ h[i]).view(np.uint64))
+        want |= {(i, i + 1 + int(j), int(d[j])) for j in np.flatnonzero(d <= 12)}
+    want = {(a, b, d) for a, b, d in want if not (9000 <= b < 9010 and d) and not 9000 <= a < 9010}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(h.tolist())], "id long, h long")
+    for block in (1_000_000, 7_000):
+        began = time.perf_counter()
+        rows = images.similar_images(df, "id", "h", 12, block).collect()
+        assert time.perf_counter() - began < 60
+        assert {(r["a"], r["b"], r["distance"]) for r in rows} == want and len(rows) == len(want) >= 30
+    assert images.similar_images(df.where("id < 0"), "id", "h").collect() == []
