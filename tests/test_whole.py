@@ -184,6 +184,26 @@ def test_saved_pages_of_a_listing(spark, tmp_path):
     assert sources.retraction_cache(spark, str(tmp_path / "bad.json")).count() == 0 and sources.retraction_cache(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_bits_of_long_files(spark, tmp_path):
+    """A file of many pieces, with an end that fills none, an empty one beside it; seconds follow its length."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from probity import sources
+
+    data = random.Random(5).randbytes(600_001)
+    (tmp_path / "a.txt").write_bytes(data)
+    (tmp_path / "b.txt").write_bytes(b"")
+    bits = sources.byte_bits(spark, f"{tmp_path}/*.txt")
+    began = time.perf_counter()
+    weighed = bits.groupBy().agg(F.count("*"), F.sum("bit"), F.count_distinct("pos"), F.sum(F.col("pos") * F.col("bit")), F.max("pos")).first()
+    assert time.perf_counter() - began < 60
+    ones = [8 * i + k for i, byte in enumerate(data) for k in range(8) if byte >> (7 - k) & 1]
+    assert tuple(weighed) == (8 * len(data), len(ones), 8 * len(data), sum(ones), 8 * len(data) - 1)
+    assert [r["bit"] for r in bits.where("pos < 16").orderBy("pos").collect()] == [data[k // 8] >> (7 - k % 8) & 1 for k in range(16)]
+
+
 def test_image_pairs_make_no_rows_for_candidates(spark):
     """Twenty thousand hashes in several blocks: the pairs that numpy finds, though two hundred million are compared."""
     import time
