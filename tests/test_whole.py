@@ -184,6 +184,16 @@ def test_saved_pages_of_a_listing(spark, tmp_path):
     assert sources.retraction_cache(spark, str(tmp_path / "bad.json")).count() == 0 and sources.retraction_cache(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_digit_windows_count_all_rows(spark, tmp_path):
+    """A value of 0 has no leading digit and is a row of its window all the same."""
+    from datetime import datetime
+
+    rows = [(i, datetime(2024, 1, 1 + i // 4, 12), "view", v) for i, v in enumerate([0.0, 9.5, 1.0, 0.04, 0.0, 0.0, 19.0])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r)[2:] for r in QUERIES["digit_windows"](spark, str(tmp_path)).collect())
+    assert got == [(3, 1, 0, 2, 1), (4, 1, 1, 2, 1)]
+
+
 def test_bits_of_long_files(spark, tmp_path):
     """A file of many pieces, with an end that fills none, an empty one beside it; seconds follow its length."""
     import time
