@@ -235,3 +235,27 @@ def test_image_pairs_make_no_rows_for_candidates(spark):
         assert time.perf_counter() - began < 60
         assert {(r["a"], r["b"], r["distance"]) for r in rows} == want and len(rows) == len(want) >= 30
     assert images.similar_images(df.where("id < 0"), "id", "h").collect() == []
+
+
+def test_targets_in_blocks_without_shuffles(spark):
+    """Copies, parts and texts that share one common line: the same rows by one block and by many as signatures give, and no exchange of texts or pairs."""
+    rng = random.Random(8)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=4)) for _ in range(n)]
+    line, bodies = some(16), []
+    for d in range(120):
+        ws = some(rng.randint(0, 120)) + line * (d % 2)
+        bodies.append(ws if d % 5 or not d else rng.choice(bodies)[rng.randint(0, 20) :] + ws[: rng.randint(0, 30)])
+    sets = [{" ".join(ws[i : i + 6]) for i in range(len(ws) - 5)} for ws in bodies]
+    sign = [[min(hashlib.md5(f"{i}{x}".encode()).digest() for x in s) for i in range(128)] if s else None for s in sets]
+    want = set()
+    for a in range(0, 120, 3):
+        for b in range(120):
+            if a != b and sign[a] and sign[b] and (j := sum(x == y for x, y in zip(sign[a], sign[b], strict=True)) / 128) > 0.05:
+                want.add((a, b, len(sets[a] & sets[b]), j * 128))
+    docs = spark.createDataFrame([(d, " ".join(ws)) for d, ws in enumerate(bodies)] + [(None, " ".join(bodies[0]))], "id long, text string")
+    for block in (10**6, 2000):
+        out = overlap.against_corpus(docs.where("id % 3 = 0"), docs, "id", "text", block=block)
+        rows = out.collect()
+        assert {(r["a"], r["b"], r["shared"], round(r["jaccard_estimate"] * 128)) for r in rows} == want and len(rows) == len(want) > 200
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert overlap.against_corpus(docs.where("id < 0"), docs, "id", "text").collect() == []
