@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from probity.functions.special import chi2_sf, norm_cdf, norm_two_tailed
 from probity.operators.digits import finite, last_digits
+from probity.sources import materialise
 
 
 def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -41,7 +42,8 @@ def anderson_darling(df: DataFrame, value: str, by: Sequence[str], buckets: int
     values = _values(df, value, by)
     share = [i / buckets for i in range(1, buckets)]
     stats = values.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.percentile_approx("x", share, 10_000).alias("edges"))
-    stats = stats.select(*[F.col(c).alias(f"_{c}") for c in by], "n", "m", "s", "edges")
+    # read twice: quantiles of another merge order would put a value into another bucket than the one it was counted in
+    stats = materialise(stats.select(*[F.col(c).alias(f"_{c}") for c in by], "n", "m", "s", "edges"))
     same = lambda x, y: [x[c].eqNullSafe(y[f"_{c}"]) for c in by]
     each = values.groupBy(*by, "x").agg(F.count("*").alias("c"))
     placed = each.join(stats, same(each, stats)).select(*by, "x", "c", "n", "m", "s", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("bucket"))

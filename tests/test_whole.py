@@ -259,3 +259,17 @@ def test_targets_in_blocks_without_shuffles(spark):
         assert {(r["a"], r["b"], r["shared"], round(r["jaccard_estimate"] * 128)) for r in rows} == want and len(rows) == len(want) > 200
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert overlap.against_corpus(docs.where("id < 0"), docs, "id", "text").collect() == []
+
+
+def test_ranks_stand_on_one_set_of_quantiles(spark):
+    """Approximate quantiles depend on the order of merging, so buckets and the counts below them must come from one computation."""
+    from probity.operators import distribution
+
+    rng = random.Random(11)
+    values = sorted(round(rng.gauss(10, 3), 2) for _ in range(5000))
+    m, sd = sum(values) / 5000, math.sqrt(variance(values))
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-10)
+    want = -5000 - sum((2 * i - 1) * math.log(tail(-(v - m) / sd)) + (2 * (5000 - i) + 1) * math.log(tail((v - m) / sd)) for i, v in enumerate(values, 1)) / 5000
+    out = distribution.anderson_darling(spark.createDataFrame([("a", v) for v in values], "g string, v double").repartition(7), "v", ["g"])
+    assert "percentile_approx" not in out._jdf.queryExecution().analyzed().toString()
+    assert abs(out.first()["a2"] - want) < 1e-6
