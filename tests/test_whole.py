@@ -273,3 +273,36 @@ def test_ranks_stand_on_one_set_of_quantiles(spark):
     out = distribution.anderson_darling(spark.createDataFrame([("a", v) for v in values], "g string, v double").repartition(7), "v", ["g"])
     assert "percentile_approx" not in out._jdf.queryExecution().analyzed().toString()
     assert abs(out.first()["a2"] - want) < 1e-6
+
+
+def test_image_totals_count_all_pairs_of_copies(spark, tmp_path):
+    """Five copies of one image and three of a near one, in two folders: each pair counts under the folder of its first image."""
+    one = [1.0] * 30 + [-1.0] * 34
+    near = [1.0] * 33 + [-1.0] * 31
+    far = [-1.0] * 32 + [1.0] * 32
+    kinds = [one, near, one, one, near, one, far, near, one]
+    rows = [(i, v, i % 2) for i, v in enumerate(kinds)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = [i % 2 for i, v in enumerate(kinds) for w in kinds[i + 1 :] if far not in (v, w)]
+    got = {tuple(r) for r in QUERIES["image_totals"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 5, 10, pairs.count(0)), (1, 4, 6, pairs.count(1))} and len(pairs) == 28
+
+
+def test_all_suspicious_images_against_brute_force(spark):
+    """Large and small classes of copies, keys as numbers and as text, folders, keys and hashes that are absent; by one block and by many that cut the classes."""
+    rng = random.Random(12)
+    centres = [rng.getrandbits(64) for _ in range(20)]
+    hashes = [c ^ sum(1 << i for i in rng.sample(range(64), rng.choice([0, 0, 0, 1, 6, 15, 16]))) for c in centres for _ in range(25)] + [centres[0]] * 300
+    rng.shuffle(hashes)
+    folders = [rng.choice(["x", "y", "z", None]) for _ in hashes]
+    for kind, key, blocks in ("long", lambda i: i, (1_000_000, 100)), ("string", lambda i: f"{'aé\U0001f600'[i % 3]}{i}", (90,)):
+        rows = sorted(((key(i), h, f) for i, (h, f) in enumerate(zip(hashes, folders, strict=True))), key=lambda r: r[0])
+        want = {}
+        for i, (_, x, f) in enumerate(rows):
+            want[f] = want.get(f, 0) + sum((x ^ y).bit_count() <= 15 for _, y, _ in rows[i + 1 :])
+        signed = [(k, h - (1 << 64) if h >> 63 else h, f) for k, h, f in rows]
+        df = spark.createDataFrame([*signed, (None, signed[0][1], "x"), (key(9999), None, "x")], f"id {kind}, h long, f string")
+        for block in blocks:
+            assert {r["f"]: r["n_suspicious"] for r in images.suspicious(df, "f", "id", "h", 15, block).collect()} == want
+        assert sum(want.values()) > 50_000
+    assert images.suspicious(df.where("id is null"), "f", "id", "h").collect() == []
